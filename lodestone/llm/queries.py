@@ -7,8 +7,9 @@ SQL can express the result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import line_dedup, packing, secrets, simhash
 from .common import read
 
 
@@ -16,8 +17,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+judged AS (
+  SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS goes FROM keyed)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (goes)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), ratios))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, tau=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_simhash": op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_line_dedup": OP2_SQL,
+}
