@@ -184,6 +184,7 @@ def _verified(cells: DataFrame, tau: int) -> DataFrame:
 
         def links(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             mask, value, fp, ids = parts
+            fp = fp.view(np.uint64)  # a popcount of signed numbers counts their absolute values
             ends = np.flatnonzero(np.r_[(mask[1:] != mask[:-1]) | (value[1:] != value[:-1]), True]) + 1
             starts = np.r_[0, ends[:-1]]
             rows: list[tuple[int, int, int]] = []
