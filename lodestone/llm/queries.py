@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, secrets, simhash
+from . import line_dedup, packing, quality, secrets, simhash
 from .common import read
 
 
@@ -37,19 +37,26 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secrets.train(secrets.labelled_samples(spark))
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), ratios))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, tau=2)
+    out = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, tau=2, similarity=None)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op4_quality": op4_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
 }

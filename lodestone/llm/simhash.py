@@ -35,7 +35,7 @@ SEED = 42
 #: Most fingerprints in a cell that is paired.
 CELL = 1024
 #: Cost of a shuffled row against a popcount of a pair, for the choice of thresholds.
-ROW_COST = 100.0
+ROW_COST = 300.0
 
 
 def fingerprint(text: str | None, width: int, block: int = 1 << 16) -> int:
@@ -160,6 +160,8 @@ def plan(nodes: DataFrame, tau: int) -> list[tuple[list[int], int]]:
 def forest(fps: np.ndarray, ids: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
     """Minimum spanning forest (u, v, bits) of the links of a cell, by Prim's algorithm."""
     n = len(fps)
+    if int((np.bitwise_count(fps[:, None] ^ fps) <= tau).sum()) == n:
+        return []  # as in most cells
     out, dist, near = [], np.full(n, BITS + 1, np.int64), np.zeros(n, np.int64)
     free = np.ones(n, bool)
     at = 0
@@ -222,11 +224,9 @@ def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     cells = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"), "fp", "id")
     found = None
     while True:
-        cells = scratch.save(cells)
-        sizes = cells.groupBy("mask", "value").count()
-        large = scratch.save(sizes.where(f"count > {CELL}").drop("count"))
+        large = scratch.save(cells.groupBy("mask", "value").count().where(f"count > {CELL}").drop("count"))
         masks = [r.mask for r in large.select("mask").distinct().collect()]  # one for each partition of each level
-        small = _verified((cells.join(large, ["mask", "value"], "left_anti") if masks else cells).join(sizes.where("count > 1").drop("count"), ["mask", "value"], "left_semi"), tau)
+        small = _verified(cells.join(large, ["mask", "value"], "left_anti") if masks else cells, tau)
         found = small if found is None else found.unionByName(small)
         if not masks:
             return found
@@ -239,22 +239,68 @@ def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
         # The value a cell was visited under is kept in the bits of its mask, whatever the fingerprint has there.
         cells = cells.select(F.col("mask").alias("old"), F.col("value").alias("kept"), F.explode(F.coalesce(*parts)).alias("mask"), "fp", "id")
         new_bits = F.col("fp").bitwiseAND(F.col("mask").bitwiseAND(F.bitwise_not("old")))
-        cells = cells.select("mask", F.col("kept").bitwiseOR(new_bits).alias("value"), "fp", "id").distinct()  # one cell may come from two
+        cells = scratch.save(cells.select("mask", F.col("kept").bitwiseOR(new_bits).alias("value"), "fp", "id").distinct())  # one cell may come from two
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 2) -> DataFrame:
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, grams): the distinct shingle hashes of a text, sorted, as bytes; no words: none."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                words = words_of(text or "")
+                shingles = map(" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [" ".join(words)] * bool(words)
+                out.append(np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, grams binary")
+
+
+def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The edges (u, v) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
+    ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
+    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    both = edges.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                total = len(x) + len(y) - same
+                keep.append(not total or same / total >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarity: float | None = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``: the smallest doc_id that its links reach, itself included.
 
+    Links are fingerprints at most ``tau`` bits apart, and with ``similarity`` only those of
+    them whose shingle sets have that Jaccard similarity: the spanning forest's edges, and
+    each document against the first of its fingerprint. Shingles as similar as 0.8 have
+    fingerprints some 10 bits apart, 0.9 some 7, hence the default of 11.
+
     Defined results: a null or empty text has no words and the fingerprint zero, which links
     like any other; fewer words than ``width`` are one shingle; equal fingerprints are one
     node, however many rows have them; a row whose doc_id is null links nothing and gets the
-    component of its fingerprint, if any other row has that; an empty table gives no rows;
-    other columns are not read.
+    component of its fingerprint without ``similarity``, else none; an empty table gives no
+    rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.save(fingerprints(docs, width))
     nodes = scratch.save(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = links(nodes, tau, scratch)
-    roots = components(edges, scratch).select(F.col("u").alias("id"), "root")
-    member = nodes.join(roots, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
-    return prints.join(member, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    edges = links(nodes, tau, scratch).select("u", "v")
+    if similarity is None:
+        roots = components(edges, scratch).select(F.col("u").alias("id"), "root")
+        member = nodes.join(roots, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
+        return prints.join(member, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    first = nodes.select(F.col("fp").alias("_fp"), F.col("id").alias("v"))
+    same = prints.join(first, F.col("fp") == F.col("_fp")).select(F.col("doc_id").alias("u"), "v")
+    roots = components(verified(docs, edges.unionByName(same), width, similarity, scratch), scratch).select(F.col("u").alias("_id"), "root")
+    return prints.join(roots, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))
