@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, quality, secrets, simhash, substring
+from . import chat, decontam, html_extract, line_dedup, packing, quality, secrets, simhash, substring
 from .common import read
 
 
@@ -37,12 +37,31 @@ FROM judged GROUP BY doc_id
 """
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_main").alias("text"), F.char_length("_main").cast("long").alias("n_chars"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(read(spark, sf_dir, "conversations"))
+
+
+#: The messages of these tables carry no tools, so all are plain; the forms with tools are tested on fixtures.
+OP5_SQL = """
+SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS order_level, 'plain' AS status, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
+  '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR END
+      || CASE WHEN text IS NULL OR role IS NULL THEN '' ELSE ',' END
+      || CASE WHEN role IS NULL THEN '' ELSE '"role":' || to_json(role)::VARCHAR END || '}' AS json
+FROM conversations
+"""
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -64,7 +83,9 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
@@ -73,4 +94,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op5_chat": OP5_SQL,
 }
