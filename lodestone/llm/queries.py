@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, line_dedup, packing, quality, secrets, simhash, substring
+from . import ann, chat, decontam, html_extract, line_dedup, packing, quality, secrets, simhash, substring
 from .common import read
 
 
@@ -62,6 +62,10 @@ FROM conversations
 """
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
+    "op6_nearest": op6_nearest,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash": op9_simhash,
