@@ -157,27 +157,69 @@ def plan(nodes: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     return [(g, r) for g, r in zip(groups, allocate([len(g) for g in groups], [pairs.get(i, 0.0) for i in range(len(groups))], max(n, 1), tau), strict=True) if r >= 0]
 
 
-def forest(fps: np.ndarray, ids: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
-    """Minimum spanning forest (u, v, bits) of the links of a cell, by Prim's algorithm."""
+def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
+    """Minimum spanning forest of the links of a cell, by Prim's algorithm: places (lower, higher, bits).
+
+    Links are ordered by (bits, lower, higher) and so never tie; places follow ids, so that
+    every cell orders the links that it shares with another cell alike.
+    """
     n = len(fps)
     if int((np.bitwise_count(fps[:, None] ^ fps) <= tau).sum()) == n:
         return []  # as in most cells
-    out, dist, near = [], np.full(n, BITS + 1, np.int64), np.zeros(n, np.int64)
+    none = np.iinfo(np.int64).max
+    place = np.arange(n)
+    out, least, near = [], np.full(n, none), np.zeros(n, np.int64)
     free = np.ones(n, bool)
     at = 0
     for _ in range(n - 1):
         free[at] = False
-        d = np.bitwise_count(fps ^ fps[at]).astype(np.int64)
-        closer = free & (d < dist)
-        dist[closer], near[closer] = d[closer], at
-        nxt = int(np.argmin(np.where(free, dist, BITS + 2)))
-        if dist[nxt] <= tau:
-            out.append((int(ids[nxt]), int(ids[near[nxt]]), int(dist[nxt])))
+        weight = (np.bitwise_count(fps ^ fps[at]).astype(np.int64) * n + np.minimum(place, at)) * n + np.maximum(place, at)
+        closer = free & (weight < least)
+        least[closer], near[closer] = weight[closer], at
+        nxt = int(np.argmin(np.where(free, least, none)))
+        if (bits := int(least[nxt]) // (n * n)) <= tau:
+            out.append((min(nxt, int(near[nxt])), max(nxt, int(near[nxt])), bits))
         at = nxt
     return out
 
 
-def _verified(cells: DataFrame, tau: int) -> DataFrame:
+def finer(mask: int, tau: int) -> list[int]:
+    """Masks of the cells that a large cell of ``mask`` is dealt over: its other bits in tau + 1 parts."""
+    rest = [b for b in range(BITS) if not (mask >> (BITS - 1 - b)) & 1]
+    return [mask | mask_of([int(b) for b in g]) for g in np.array_split(rest, min(len(rest), tau + 1)) if len(g)]
+
+
+def owns(mask: int, value: int, x: int, y: int, chosen: list[tuple[int, int]], tau: int) -> bool:
+    """Whether the cell is the one of all cells where x and y meet that gives out their link.
+
+    That is the first partition where they meet, there the cell half way between them, and
+    in a large cell the first part that they agree on. A link of the minimum spanning
+    forest of all links is in the forest of any cell that holds both its ends, so giving
+    it out once is enough.
+    """
+    for at, radius in chosen:
+        diff = (x ^ y) & at
+        if diff.bit_count() <= 2 * radius:
+            v = min(x & at, y & at)
+            for _ in range(diff.bit_count() // 2):
+                v ^= diff & -diff
+                diff &= diff - 1
+            break
+    else:
+        return False
+    while (at, v) != (mask, value):
+        if at & ~mask or at == mask:
+            return False
+        for m in finer(at, tau):
+            if not (x ^ y) & m & ~at:
+                at, v = m, v | (x & m & ~at)
+                break
+        else:
+            return False
+    return True
+
+
+def _verified(cells: DataFrame, chosen: list[tuple[int, int]], tau: int) -> DataFrame:
     """(u, v, bits) of small cells; a cell's rows stand together and are never more than CELL."""
     together = cells.repartition("mask", "value").sortWithinPartitions("mask", "value", "id")
 
@@ -186,32 +228,31 @@ def _verified(cells: DataFrame, tau: int) -> DataFrame:
 
         def links(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             mask, value, fp, ids = parts
-            fp = fp.view(np.uint64)  # a popcount of signed numbers counts their absolute values
             ends = np.flatnonzero(np.r_[(mask[1:] != mask[:-1]) | (value[1:] != value[:-1]), True]) + 1
             starts = np.r_[0, ends[:-1]]
-            rows: list[tuple[int, int, int]] = []
-            pair = ends - starts == 2  # most cells of more than one: no need for a loop
-            a, b = fp[starts[pair]], fp[starts[pair] + 1]
-            near = np.bitwise_count(a ^ b) <= tau
-            first = starts[pair][near]
-            rows += zip(ids[first + 1].tolist(), ids[first].tolist(), np.bitwise_count(a ^ b)[near].tolist(), strict=True)
+            fp, mask, value = fp.view(np.uint64), mask.view(np.uint64), value.view(np.uint64)  # a popcount of signed numbers counts their absolute values
+            pair = starts[ends - starts == 2]  # most cells of more than one: no need for a loop
+            bits = np.bitwise_count(fp[pair] ^ fp[pair + 1])
+            near = bits <= tau
+            found = list(zip(pair[near].tolist(), (pair[near] + 1).tolist(), bits[near].tolist(), strict=True))
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                rows += forest(fp[s:e], ids[s:e], tau)
+                found += ((s + i, s + j, d) for i, j, d in forest(fp[s:e], tau))
+            rows = [(int(ids[j]), int(ids[i]), d) for i, j, d in found if owns(int(mask[i]), int(value[i]), int(fp[i]), int(fp[j]), chosen, tau)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["u", "v", "bits"])
 
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if held:
-                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(new[0]):
                 continue
+            if held:
+                new = [np.concatenate(x) for x in zip(held, new, strict=True)]
             last = (new[0] == new[0][-1]) & (new[1] == new[1][-1])
-            cut = int(np.argmax(last)) if last.any() else len(last)
+            cut = int(np.argmax(last))
             held = [x[cut:] for x in new]
             if cut:
                 yield from links([x[:cut] for x in new])
-        if held and len(held[0]):
+        if held:
             yield from links(held)
 
     return together.select("mask", "value", "fp", "id").mapInArrow(run, "u long, v long, bits long")
@@ -220,22 +261,22 @@ def _verified(cells: DataFrame, tau: int) -> DataFrame:
 def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     """(u, v, bits) that connect all fingerprints of ``nodes`` (fp, id: each once) at most ``tau`` bits apart."""
     chosen = plan(nodes, tau)
+    roots = [(mask_of(g), radius) for g, radius in chosen]
     keys = F.array(*(F.struct(F.lit(signed(mask_of(g))).alias("mask"), F.lit(x).alias("flip")) for g, radius in chosen for x in probes(g, radius)))
     cells = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"), "fp", "id")
     found = None
     while True:
         large = scratch.save(cells.groupBy("mask", "value").count().where(f"count > {CELL}").drop("count"))
         masks = [r.mask for r in large.select("mask").distinct().collect()]  # one for each partition of each level
-        small = _verified(cells.join(large, ["mask", "value"], "left_anti") if masks else cells, tau)
+        small = _verified(cells.join(large, ["mask", "value"], "left_anti") if masks else cells, roots, tau)
         found = small if found is None else found.unionByName(small)
         if not masks:
             return found
         cells = cells.join(large, ["mask", "value"], "left_semi")
         parts = []
         for mask in masks:
-            rest = [b for b in range(BITS) if not (mask >> (BITS - 1 - b)) & 1]
-            finer = [signed((mask % (1 << BITS)) | mask_of([int(b) for b in g])) for g in np.array_split(rest, min(len(rest), tau + 1)) if len(g)]
-            parts.append(F.when(F.col("mask") == mask, F.array(*map(F.lit, finer))))
+            under = [signed(m) for m in finer(mask % (1 << BITS), tau)]
+            parts.append(F.when(F.col("mask") == mask, F.array(*map(F.lit, under))))
         # The value a cell was visited under is kept in the bits of its mask, whatever the fingerprint has there.
         cells = cells.select(F.col("mask").alias("old"), F.col("value").alias("kept"), F.explode(F.coalesce(*parts)).alias("mask"), "fp", "id")
         new_bits = F.col("fp").bitwiseAND(F.col("mask").bitwiseAND(F.bitwise_not("old")))
