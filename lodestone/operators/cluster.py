@@ -95,6 +95,7 @@ def bfr(points: DataFrame, k: int, scratch: Scratch, rounds: int = 5, seed: int
     ds = collect_summaries(placed, "cluster")
     in_ds, cs, in_cs = [placed.select("id", "cluster")], {}, []
     report = []
+    made = 0  # labels of compression sets are never used twice
 
     def gather(rs: DataFrame) -> DataFrame:
         """Groups of the retained set become compression sets; single points stay."""
@@ -103,8 +104,9 @@ def bfr(points: DataFrame, k: int, scratch: Scratch, rounds: int = 5, seed: int
             return rs
         grouped = scratch.save(kmeans(rs, n // 2 + 1, seed).select("id", "features", "cluster"))
         many = grouped.groupBy("cluster").count().where("count > 1").select("cluster")
-        start = max(cs, default=-1) + 1
-        kept = scratch.save(grouped.join(many, "cluster", "left_semi").withColumn("cluster", F.col("cluster") + start))
+        nonlocal made
+        kept = scratch.save(grouped.join(many, "cluster", "left_semi").withColumn("cluster", F.col("cluster") + made))
+        made += n // 2 + 1
         cs.update(collect_summaries(kept, "cluster"))
         in_cs.append(kept.select("id", "cluster"))
         return scratch.save(grouped.join(many, "cluster", "left_anti").select("id", "features"))
