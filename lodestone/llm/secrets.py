@@ -133,5 +133,5 @@ def scan(docs: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD)
 
 def digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
+    counts = [F.expr(f"cast(size(filter(_base, s -> s.kind = {k})) as long)").alias(f"n_{name}") for k, (name, *_) in enumerate(BASE)]
     return scanned.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.concat("_base", "_added")).alias("spans"))
