@@ -27,8 +27,9 @@ from .common import small_batches
 
 WIDTH = 5
 COVERAGE = 0.8
-#: A window with fewer literal words counts only if its slot values are the item's own.
-LITERALS = 3
+#: A window with fewer literal words counts only if its slot values are the item's own; of an
+#: alignment's windows, half must have one literal word more or the item's own values.
+LITERALS = 2
 FILTER_BITS = 1 << 23
 
 #: Words that are units, and number words.
@@ -153,8 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COV
     pairs = seen.join(items, "h").where((F.col("literals") >= LITERALS) | (F.col("slots") == F.col("islots")))
     slots = F.transform(F.arrays_zip("islots", "slots"), lambda z: F.struct(F.lower(z["islots"]).alias("iv"), F.lower(z["slots"]).alias("dv")))
     # A group is one alignment of one item: it has at most one row for each window of the item and text with the id.
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("n").alias("n"), F.collect_set("ipos").alias("found"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("map"))
-    aligned = aligned.where(F.size("map") == F.size(F.array_distinct(F.transform("map", lambda z: z["iv"]))))
+    strong = F.when((F.col("literals") > LITERALS) | (F.col("slots") == F.col("islots")), F.col("ipos"))
+    aligned = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("n").alias("n"), F.collect_set("ipos").alias("found"), F.size(F.collect_set(strong)).alias("strong"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("map"))
+    aligned = aligned.where(2 * F.col("strong") >= F.size("found")).where(F.size("map") == F.size(F.array_distinct(F.transform("map", lambda z: z["iv"]))))
     held = aligned.withColumn("ipos", F.explode("found")).groupBy("doc_id", "item_id").agg(
         F.max("n").alias("n_windows"), F.count_distinct("ipos").alias("n_matched"), F.max(F.exists("map", lambda z: z["iv"] != z["dv"])).alias("reparameterised")
     )
