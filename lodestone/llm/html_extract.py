@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from ..scratch import Scratch
+from .common import small_batches
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|iframe)\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+>|</?([a-zA-Z][a-zA-Z0-9-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|</?([a-zA-Z][a-zA-Z0-9-]*+)([^>]*+)(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -39,7 +40,7 @@ ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr
 #: Elements and class, id or role words that are not main text.
 BAD_TAGS = frozenset("nav footer aside form select button menu dialog head title".split())
 BAD_WORDS = frozenset("""
-    ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
+    ad ads adsbygoogle advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo
     complementary cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter
     notice notices notification alert pager pagination popup promo promoted promotion recommended related replies respond search
     share sharing sidebar signup social sponsor sponsored subscribe tagcloud toolbar widget widgets
@@ -231,17 +232,12 @@ def slots(wrapper: list) -> list[tuple[tuple[str, ...], bool]]:
 def regions(wrapper: list) -> list[list[list[str]]]:
     """Paths of the content slots, in order of preference: a page's text is that of the first entry it has any of.
 
-    Of slots that are not excluded: those inside the first of GOOD_WORDS that the wrapper
-    has as a tag or a name, then all.
+    Of slots that are not excluded: those inside each of GOOD_WORDS that the wrapper has as a
+    tag or a name, then all. Pages of another template on the same host so find their own.
     """
     free = [p for p, excluded in slots(wrapper) if not excluded]
-    out = []
-    for word in GOOD_WORDS:
-        inside = [list(p) for p in free if any(word in atom.split(".") or word in re.split(r"[-_.]+", atom) for atom in p)]
-        if inside:
-            out.append(inside)
-            break
-    return [*out, [list(p) for p in free]]
+    named = ([list(p) for p in free if any(word in re.split(r"[-_.]+", atom) for atom in p)] for word in GOOD_WORDS)
+    return [*filter(None, named), [list(p) for p in free]]
 
 
 def extract(page: str, wanted: list[list[list[str]]]) -> str:
