@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash128
+from ..scratch import Scratch
+from .common import hash128
 
 SHARD = 8192
 NEIGHBOURS = 24

@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash128
+from ..scratch import Scratch
+from .common import hash128
 
 CALLS = "struct<content: string, tool_calls: array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>>"
 RESULT = "struct<tool_call_id: string, content: string>"

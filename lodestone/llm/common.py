@@ -1,52 +1,11 @@
-"""Helpers that the training-data operators share: shared scratch tables and column picks."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that setting is missing (a plain local session, as in tests) a
-    temporary folder is taken and written back to the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive a lost executor."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def save(self, df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
-        """Write ``df`` and read it back with the same schema."""
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.options(**(options or {})).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def strip_ascii(col: Column) -> Column:
@@ -63,7 +22,7 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
-#: Bytes that the columns named here may take in one Arrow batch to a Python worker.
+#: Rows of texts in one Arrow batch to a Python worker.
 BATCH_ROWS = 256
 
 
@@ -85,5 +44,3 @@ def words_of(text: str) -> list[str]:
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-
-LONG, INT, STR = T.LongType(), T.IntegerType(), T.StringType()

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash128, lower_ascii, strip_ascii
+from ..scratch import Scratch
+from .common import hash128, lower_ascii, strip_ascii
 
 MIN_CODE_POINTS = 10
 #: Keys taken out of the sort and broadcast: at most so many rows of 40 bytes.
@@ -39,7 +40,7 @@ def line_bitmaps(docs: DataFrame, *, min_code_points: int = MIN_CODE_POINTS) ->
     One row for each document that loses lines. Rows with a null doc_id take no part.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.where("doc_id is not null").select(*_identity(docs), F.posexplode(split_lines(F.col("text"))).alias("_pos", "_line"))
+    lines = docs.select("doc_id", "text").where("doc_id is not null").select(*_identity(docs), F.posexplode(split_lines(F.col("text"))).alias("_pos", "_line"))
     lines = lines.withColumn("_key", lower_ascii(strip_ascii(F.col("_line")))).where(F.char_length("_key") >= min_code_points)
     a, b = hash128(F.col("_key"))
     lines = scratch.save(lines.select(a.alias("_a"), b.alias("_b"), "_doc", "_text", "_pos"))
@@ -63,12 +64,14 @@ def line_bitmaps(docs: DataFrame, *, min_code_points: int = MIN_CODE_POINTS) ->
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``_kept`` (the lines that stay, joined), ``_n_lines`` and ``_n_dropped``."""
-    docs = docs.withColumn("_lines", split_lines(F.col("text"))).withColumns(dict(zip(("_doc", "_text"), _identity(docs), strict=True)))
-    bitmaps = bitmaps.select(F.col("_doc").alias("_doc2"), F.col("_text").alias("_text2"), "words", F.col("n_dropped").alias("_dropped"))
-    out = docs.join(bitmaps, (F.col("_doc") == F.col("_doc2")) & (F.col("_text") == F.col("_text2")), "left")
-    stays = F.expr("array_join(filter(_lines, (x, i) -> (shiftright(coalesce(get(words, i div 32), 0), i % 32) & 1) = 0), '\\n')")
-    kept = F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(stays)
-    return out.select(*docs.drop("_lines", "_doc", "_text").columns, kept.alias("_kept"), F.size("_lines").cast("long").alias("_n_lines"), F.coalesce("_dropped", F.lit(0)).cast("long").alias("_n_dropped"))
+    names = docs.columns
+    safe = docs.toDF(*(f"c{i}" for i in range(len(names))))  # columns of docs may have any names
+    text = F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))
+    safe = safe.withColumns({"_lines": split_lines(text), "_row": F.xxhash64(text), "_whole": text, "_id": F.col(f"c{names.index('doc_id')}")})
+    out = safe.join(bitmaps, (F.col("_id") == F.col("_doc")) & (F.col("_row") == F.col("_text")), "left")
+    stays = F.expr("array_join(filter(_lines, (x, i) -> (shiftright(coalesce(get(words, i div 32), 0), i % 32) & 1) = 0), '\n')")
+    kept = F.when(F.col("words").isNull(), F.col("_whole")).otherwise(stays)
+    return out.select(*(f"c{i}" for i in range(len(names))), kept.alias("_kept"), F.size("_lines").cast("long").alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped")).toDF(*names, "_kept", "_n_lines", "_n_dropped")
 
 
 def drop_repeated_lines(docs: DataFrame, *, min_code_points: int = MIN_CODE_POINTS) -> DataFrame:

@@ -9,9 +9,8 @@ fingerprints.
 
 Probing puts a fingerprint in the cell of its own key and, for t of 2 or more, in the cells
 within t/2 bits of it, so that pairs t bits apart meet. A cell's bits are ``mask``. A cell
-of more than ``CELL`` fingerprints is not paired: its other bits are partitioned again in
-tau + 1 parts, and so on until cells are small (a cell whose free bits number 10 or fewer
-cannot be larger). Small cells are verified by popcount inside their task, which gives out a
+of more than ``cell_size`` fingerprints is not paired: its other bits are partitioned again in
+tau + 1 parts, and so on until cells are small (as a cell's free bits run out). Small cells are verified by popcount inside their task, which gives out a
 minimum spanning forest of the links, no more edges than the cell has members: enough for
 components, however many copies there are.
 """
@@ -27,43 +26,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, words_of
-from .components import components
+from ..operators.components import components
+from ..scratch import Scratch
+from .common import small_batches, words_of
 
 BITS = 64
-SEED = 42
-#: Most fingerprints in a cell that is paired.
-CELL = 1024
+#: Of the shingles' hash; near copies are sought with both, each misses others.
+SEED, SECOND_SEED = 42, 1042
 #: Cost of a shuffled row against a popcount of a pair, for the choice of thresholds.
 ROW_COST = 300.0
+#: Most fingerprints in a cell that is paired; None: as many as ``cell_size`` says.
+CELL = 1024
+
+
+def cell_size(tau: int) -> int:
+    """Where dealing a cell's rows over tau + 1 finer cells costs what pairing it does."""
+    return CELL or int(2 * (tau + 1) * ROW_COST)
 
 
-def fingerprint(text: str | None, width: int, block: int = 1 << 16) -> int:
-    """SimHash of the text's word shingles, as an unsigned integer; zero without words."""
+def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,), block: int = 1 << 16) -> list[int]:
+    """SimHashes of the text's word shingles, one for each seed, as unsigned integers; zero without words."""
     words = words_of(text or "")
     if not words:
-        return 0
+        return [0] * len(seeds)
     n = max(1, len(words) - width + 1)
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros((len(seeds), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, block):
         part = words[at : min(n, at + block) + width - 1]
-        shingles = map(" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [" ".join(words)]
-        hashes = np.array([digest(s, SEED) for s in shingles], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        shingles = list(map(" ".join, zip(*(part[i:] for i in range(width)), strict=False))) if len(words) >= width else [" ".join(words)]
+        for row, seed in zip(counts, seeds, strict=True):
+            hashes = np.array([digest(s, seed) for s in shingles], ">u8")
+            row += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * row > n).tobytes(), "big") for row in counts]
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; fp is the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp0, ..): one row for each row of ``docs``, a fingerprint for each seed as a signed long."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", *(f"fp{i}" for i in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width, seeds) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(seeds)))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -164,7 +172,7 @@ def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
     every cell orders the links that it shares with another cell alike.
     """
     n = len(fps)
-    if int((np.bitwise_count(fps[:, None] ^ fps) <= tau).sum()) == n:
+    if not any(int((np.bitwise_count(fps[i : i + 256, None] ^ fps) <= tau).sum()) > len(fps[i : i + 256]) for i in range(0, n, 256)):
         return []  # as in most cells
     none = np.iinfo(np.int64).max
     place = np.arange(n)
@@ -220,7 +228,7 @@ def owns(mask: int, value: int, x: int, y: int, chosen: list[tuple[int, int]], t
 
 
 def _verified(cells: DataFrame, chosen: list[tuple[int, int]], tau: int) -> DataFrame:
-    """(u, v, bits) of small cells; a cell's rows stand together and are never more than CELL."""
+    """(u, v, bits) of small cells; a cell's rows stand together and are never more than ``cell_size``."""
     together = cells.repartition("mask", "value").sortWithinPartitions("mask", "value", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +274,7 @@ def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     cells = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"), "fp", "id")
     found = None
     while True:
-        large = scratch.save(cells.groupBy("mask", "value").count().where(f"count > {CELL}").drop("count"))
+        large = scratch.save(cells.groupBy("mask", "value").count().where(f"count > {cell_size(tau)}").drop("count"))
         masks = [r.mask for r in large.select("mask").distinct().collect()]  # one for each partition of each level
         small = _verified(cells.join(large, ["mask", "value"], "left_anti") if masks else cells, roots, tau)
         found = small if found is None else found.unionByName(small)
@@ -322,10 +330,11 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float, s
 def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarity: float | None = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``: the smallest doc_id that its links reach, itself included.
 
-    Links are fingerprints at most ``tau`` bits apart, and with ``similarity`` only those of
-    them whose shingle sets have that Jaccard similarity: the spanning forest's edges, and
-    each document against the first of its fingerprint. Shingles as similar as 0.8 have
-    fingerprints some 10 bits apart, 0.9 some 7, hence the default of 11.
+    Without ``similarity`` links are fingerprints at most ``tau`` bits apart. With it, links
+    are those of two fingerprints of different seeds whose shingle sets have that Jaccard
+    similarity: the edges of both spanning forests, and each document against the first of
+    its fingerprints. Shingles as similar as 0.8 have fingerprints some 10 bits apart, 0.9
+    some 7, hence the default of 11; a pair is missed only if it is further apart in both.
 
     Defined results: a null or empty text has no words and the fingerprint zero, which links
     like any other; fewer words than ``width`` are one shingle; equal fingerprints are one
@@ -334,14 +343,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarit
     rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, width))
-    nodes = scratch.save(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    edges = links(nodes, tau, scratch).select("u", "v")
-    if similarity is None:
-        roots = components(edges, scratch).select(F.col("u").alias("id"), "root")
-        member = nodes.join(roots, "id", "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
-        return prints.join(member, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
-    first = nodes.select(F.col("fp").alias("_fp"), F.col("id").alias("v"))
-    same = prints.join(first, F.col("fp") == F.col("_fp")).select(F.col("doc_id").alias("u"), "v")
-    roots = components(verified(docs, edges.unionByName(same), width, similarity, scratch), scratch).select(F.col("u").alias("_id"), "root")
-    return prints.join(roots, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))
+    seeds = (SEED,) if similarity is None else (SEED, SECOND_SEED)
+    prints = scratch.save(fingerprints(docs, width, seeds))
+    edges = None
+    for i in range(len(seeds)):
+        nodes = scratch.save(prints.where("doc_id is not null").groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("doc_id").alias("id")))
+        found = links(nodes, tau, scratch).select("u", "v")
+        if similarity is None:
+            roots = components(found, scratch).select(F.col("u").alias("id"), "root")
+            member = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+            return prints.withColumnRenamed("fp0", "fp").join(member, "fp", "left").select("doc_id", "fp", "component_id")
+        same = prints.select("doc_id", F.col(f"fp{i}").alias("fp")).join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+        found = found.unionByName(same.where("u <> v"))
+        edges = found if edges is None else edges.unionByName(found)
+    roots = components(verified(docs, edges, width, similarity, scratch), scratch).select(F.col("u").alias("_id"), "root")
+    return prints.join(roots, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.col("fp0").alias("fp"), F.coalesce("root", "doc_id").alias("component_id"))
