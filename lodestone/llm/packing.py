@@ -1,15 +1,18 @@
 """Packing of documents into training sequences by Karmarkar-Karp multiway differencing.
 
 Every document becomes its token ids followed by an end id. Cuts at multiples of the
-capacity give full sequences at once; what is left of a document is cut into pieces of
-at most ``piece`` tokens. Pieces gather in groups of about ``windows`` sequences inside a
-task, and each group is dealt into windows by largest differencing: the two partial
-partitions of largest imbalance merge, largest window against smallest, until one is left.
-If a window exceeds the capacity, the window count rises and the group is dealt again.
-
-There is no shuffle: a group never leaves its task, and a task holds the lengths of one
-group only. Sequence ids are (partition id, counter in the partition), so a task that runs
-again after an executor is lost makes the same rows.
+capacity give full sequences at once. What is left of documents gathers in groups of about
+``windows`` sequences inside a task, and each group is dealt into windows by largest
+differencing: the two partial partitions of largest imbalance merge, largest window against
+smallest, until one is left. Windows are then near-equal around the capacity, and few tokens
+have to be cut off those above it to fill those below it; what fills no window waits for
+the next group. At the end of a task the window count rises for what the capacity of full
+windows does not hold, so a task pads less than one sequence. Without ``cut`` documents' ends
+stay whole, and the window count of a group rises until no window exceeds the capacity.
+
+There is no shuffle: a group never leaves its task, and a task holds the ids of one group
+only. Sequence ids are (partition id, counter in the partition), so a task that runs again
+after an executor is lost makes the same rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 CAPACITY = 2048
-#: Longest piece of what is left of a document after its full sequences.
-PIECE = 384
 #: Sequences that one group fills, about.
 WINDOWS = 256
 END_ID = 1
@@ -120,7 +121,64 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, *, capacity: int = CAPACITY, piece: int = PIECE, windows: int = WINDOWS, keep_ids: bool = False) -> DataFrame:
+class _Piece:
+    """A run of a document's ids: ids[start : start + length] of its ``total``."""
+
+    __slots__ = ("doc_id", "ids", "start", "total")
+
+    def __init__(self, doc_id: int | None, start: int, ids: np.ndarray, total: int):
+        self.doc_id, self.start, self.ids, self.total = doc_id, start, ids, total
+
+    def split(self, at: int) -> tuple[_Piece, _Piece]:
+        return _Piece(self.doc_id, self.start, self.ids[:at], self.total), _Piece(self.doc_id, self.start + at, self.ids[at:], self.total)
+
+
+def level(windows: list[list[_Piece]], capacity: int) -> list[_Piece]:
+    """Cut what exceeds the capacity off the ends of windows and fill the others with it, in place.
+
+    Returns what is left over; then all windows are full.
+    """
+    loose: list[_Piece] = []
+    room = []
+    for w in windows:
+        over = sum(len(p.ids) for p in w) - capacity
+        room.append(max(0, -over))
+        while over > 0:
+            p = w.pop()
+            if len(p.ids) > over:
+                kept, p = p.split(len(p.ids) - over)
+                w.append(kept)
+            over -= len(p.ids)
+            loose.append(p)
+    loose.reverse()
+    for w, free in zip(windows, room, strict=True):
+        while free and loose:
+            p = loose.pop()
+            if len(p.ids) > free:
+                p, rest = p.split(free)
+                loose.append(rest)
+            w.append(p)
+            free -= len(p.ids)
+    return loose
+
+
+def fill(pieces: list[_Piece], capacity: int, cut: bool, last: bool) -> tuple[list[list[_Piece]], list[_Piece]]:
+    """Windows for the pieces and, but at the end, what waits for more."""
+    sizes = np.array([len(p.ids) for p in pieces], np.int64)
+    total = int(sizes.sum())
+    if cut:
+        k = -(-total // capacity) if last else total // capacity
+        places, _ = differencing(sizes, k)
+    else:
+        places = deal(sizes, capacity)
+        k = int(places.max()) + 1
+    windows: list[list[_Piece]] = [[] for _ in range(k)]
+    for p, w in zip(pieces, places.tolist(), strict=True):
+        windows[w].append(p)
+    return windows, level(windows, capacity) if cut else []
+
+
+def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, *, capacity: int = CAPACITY, windows: int = WINDOWS, cut: bool = True, keep_ids: bool = False) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     With ``keep_ids`` also ``ids``, the piece's token ids. Defined results: a null text is
@@ -139,49 +197,43 @@ def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, *, cap
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(ranks_path, json_path)
         first = TaskContext.get().partitionId() << 32
-        full: list[tuple] = []
-        pending: list[tuple] = []
+        rows: list[tuple] = []
+        pending: list[_Piece] = []
         held, count = 0, 0
 
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
+        def put(window: list[_Piece]) -> None:
+            nonlocal count
+            offset = 0
+            for p in window:
+                rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, first + count, offset, *([p.ids.tolist()] if keep_ids else [])))
+                offset += len(p.ids)
+            count += 1
+
+        def taken() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], schema=schema)
 
-        def settle() -> list[tuple]:
-            nonlocal pending, held, count
-            window = deal(np.array([r[2] for r in pending], np.int64), capacity)
-            out, at = [], {}
-            for r, w in zip(pending, window.tolist(), strict=True):
-                offset = at.get(w, 0)
-                at[w] = offset + r[2]
-                out.append((*r[:5], first + count + w, offset, *r[5:]))
-            count += int(window.max()) + 1
-            pending, held = [], 0
-            return out
-
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4")
-                n = len(ids)
-                rest = n - n % capacity
-                for start in range(0, rest, capacity):
-                    part = ids[start : start + capacity]
-                    full.append((doc_id, start, capacity, zlib.crc32(part.tobytes()), n, first + count, 0, *([part.tolist()] if keep_ids else [])))
-                    count += 1
-                parts = -(-(n - rest) // piece)
-                cuts = [rest + (n - rest) * i // parts for i in range(parts + 1)] if parts else []
-                for start, end in zip(cuts, cuts[1:], strict=False):
-                    part = ids[start:end]
-                    pending.append((doc_id, start, end - start, zlib.crc32(part.tobytes()), n, *([part.tolist()] if keep_ids else [])))
-                    held += end - start
+                whole = len(ids) - len(ids) % capacity
+                for start in range(0, whole, capacity):
+                    put([_Piece(doc_id, start, ids[start : start + capacity], len(ids))])
+                if whole < len(ids):
+                    pending.append(_Piece(doc_id, whole, ids[whole:].copy(), len(ids)))  # not the whole text stays
+                    held += len(ids) - whole
                 if held >= windows * capacity:
-                    yield emit(settle())
-                if len(full) >= 4096 or keep_ids and len(full) >= 256:
-                    yield emit(full)
-                    full = []
+                    full, pending = fill(pending, capacity, cut, False)
+                    for w in full:
+                        put(w)
+                    held = sum(len(p.ids) for p in pending)
+                if len(rows) >= (256 if keep_ids else 4096):
+                    yield taken()
         if pending:
-            yield emit(settle())
-        yield emit(full)
+            for w in fill(pending, capacity, cut, True)[0]:
+                put(w)
+        yield taken()
 
     spark_types = {"ids": "array<int>"}
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"`{c}` {spark_types.get(c, 'long')}" for c in names))
