@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +60,14 @@ def repartitioned(df: DataFrame, n: int, key: str) -> DataFrame:
 def items_by_key_modulo(df: DataFrame, key: str, n: int) -> DataFrame:
     """Items in each of ``n`` partitions by the key modulo ``n``, which any engine can recompute."""
     return df.groupBy(F.pmod(F.col(key), F.lit(n)).alias("partition")).agg(F.count("*").alias("n_items"))
+
+
+def timed(action: Callable[[], Any]) -> tuple[Any, float]:
+    """What an action returns and the seconds it took, as the collect-against-take comparison reports."""
+    start = time.perf_counter()
+    return action(), time.perf_counter() - start
+
+
+def collect_against_take(df: DataFrame, n: int = 10) -> dict[str, float]:
+    """Seconds to collect all rows and cut them to ``n`` (m1) and to take ``n`` rows (m2)."""
+    return {"m1": timed(lambda: df.collect()[:n])[1], "m2": timed(lambda: df.take(n))[1]}

@@ -18,12 +18,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder under one fresh name."""
+    """Tables written to the shared folder under one fresh name.
+
+    They stay while the application runs, as lazy results read them, and go when it ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        path, files = self._files(self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, where: str):
+        """A path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def path(self) -> str:
         self.n += 1
@@ -40,5 +51,5 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            path, files = self._files(t._scratch_path)
+            files.delete(path, True)

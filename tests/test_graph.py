@@ -55,6 +55,15 @@ def test_modularity_and_girvan_newman(spark, scratch):
         assert {r.id: r.label for r in found.collect()} == {v: 1 if v < 4 else 4 for v in range(1, 7)}
 
 
+def test_girvan_newman_without_singletons(spark, scratch):
+    edges = frame(spark, [*TRIANGLES, (6, 7)])
+    for small in (100, -1):
+        found, q = graph.girvan_newman(edges, scratch, 8, small, keep_singletons=False)
+        assert q > 0 and all(sum(r.label == s.label for s in found.collect()) > 1 for r in found.collect())
+    whole, _ = graph.girvan_newman(edges, scratch, 0)
+    assert {r.label for r in whole.collect()} == {1}
+
+
 def test_components_of_a_long_path_and_copies(spark, scratch):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long"), scratch).collect())

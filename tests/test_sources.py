@@ -48,6 +48,11 @@ def test_explore(spark):
     assert {r.partition: r.n_items for r in explore.items_by_key_modulo(df, "n", 2).collect()} == {0: 2, 1: 3}
 
 
+def test_timings(spark):
+    took = explore.collect_against_take(spark.range(100))
+    assert set(took) == {"m1", "m2"} and min(took.values()) > 0
+
+
 def test_socket(spark, scratch):
     server = socket.create_server(("127.0.0.1", 0))
 
