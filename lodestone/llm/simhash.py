@@ -36,7 +36,7 @@ SEED, SECOND_SEED = 42, 1042
 #: Cost of a shuffled row against a popcount of a pair, for the choice of thresholds.
 ROW_COST = 300.0
 #: Most fingerprints in a cell that is paired; None: as many as ``cell_size`` says.
-CELL = 1024
+CELL = None
 
 
 def cell_size(tau: int) -> int:
