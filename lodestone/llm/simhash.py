@@ -35,6 +35,8 @@ BITS = 64
 SEED, SECOND_SEED = 42, 1042
 #: Cost of a shuffled row against a popcount of a pair, for the choice of thresholds.
 ROW_COST = 300.0
+#: Thresholds are chosen as for so many fingerprints at least, so that small corpora are searched as large ones are.
+LEAST_SCALE = 1_000_000
 #: Most fingerprints in a cell that is paired; None: as many as ``cell_size`` says.
 CELL = None
 
@@ -150,19 +152,21 @@ def allocate(widths: list[int], pairs: list[float], n: int, tau: int) -> list[in
 def plan(nodes: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     """Partitions with their radii. The number of partitions is the one of least cost were keys even."""
     n, both = bit_counts(nodes)
+    scale = max(n, LEAST_SCALE)
     even = {}
     for parts in range(max(2, (tau + 3) // 3), tau + 2):
         widths = [len(g) for g in np.array_split(np.arange(BITS), parts)]
-        pairs = [n * n / 2 / 2**w for w in widths]
-        if radii := allocate(widths, pairs, max(n, 1), tau):
+        pairs = [scale * scale / 2 / 2**w for w in widths]
+        if radii := allocate(widths, pairs, scale, tau):
             v = [[0, 1, 1 + w, 1 + w + w * (w - 1) // 2][r + 1] for w, r in zip(widths, radii, strict=True)]
-            even[parts] = sum(ROW_COST * n * x + p * x * x for x, p in zip(v, pairs, strict=True))
+            even[parts] = sum(ROW_COST * scale * x + p * x * x for x, p in zip(v, pairs, strict=True))
     groups = group_bits(n, both, min(even, key=even.get))
     masks = F.array(*(F.lit(signed(mask_of(g))) for g in groups))
     keys = nodes.select(F.posexplode(masks).alias("i", "mask"), "fp").select("i", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     counted = keys.groupBy("i", "key").count().groupBy("i").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()
-    pairs = dict(counted)
-    return [(g, r) for g, r in zip(groups, allocate([len(g) for g in groups], [pairs.get(i, 0.0) for i in range(len(groups))], max(n, 1), tau), strict=True) if r >= 0]
+    grown = (scale / max(n, 1)) ** 2
+    pairs = {i: p * grown for i, p in counted}
+    return [(g, r) for g, r in zip(groups, allocate([len(g) for g in groups], [pairs.get(i, 0.0) for i in range(len(groups))], scale, tau), strict=True) if r >= 0]
 
 
 def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
