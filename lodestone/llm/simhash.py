@@ -17,6 +17,7 @@ components, however many copies there are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,6 +40,8 @@ ROW_COST = 300.0
 LEAST_SCALE = 1_000_000
 #: Most fingerprints in a cell that is paired; None: as many as ``cell_size`` says.
 CELL = None
+#: Buckets of shingle hashes whose counts order the shingles of a set.
+CROWDS = 1 << 16
 
 
 def cell_size(tau: int) -> int:
@@ -63,17 +66,20 @@ def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,),
     return [int.from_bytes(np.packbits(2 * row > n).tobytes(), "big") for row in counts]
 
 
-def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fp0, ..): one row for each row of ``docs``, a fingerprint for each seed as a signed long."""
+def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,), keyed: bool = False) -> DataFrame:
+    """(doc_id, fp0, ..): one row for each row of ``docs``, a fingerprint for each seed as a signed long; ``key``: a 128-bit hash of the words."""
     small_batches(docs.sparkSession)
     names = ["doc_id", *(f"fp{i}" for i in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width, seeds) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(seeds)))], names)
+            texts = b.column(1).to_pylist()
+            fps = np.array([fingerprint(t, width, seeds) for t in texts], np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            keys = [pa.array([xxhash.xxh3_128_digest(" ".join(words_of(t or ""))) for t in texts], pa.binary())] if keyed else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(seeds))), *keys], [*names, "key"] if keyed else names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    schema = ", ".join(f"{c} long" for c in names) + ", key binary" * keyed
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -311,11 +317,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, grams binary")
 
 
-def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The edges (u, v) whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
-    ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
-    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
     both = edges.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +334,78 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float, s
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def crowds(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each of CROWDS buckets of hashes: that many sums over all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CROWDS, np.int64)
+        for b in batches:
+            for grams in b.column(0).to_pylist():
+                counts += np.bincount((np.frombuffer(grams, np.uint64) % CROWDS).astype(np.int64), minlength=CROWDS)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["k", "n"])
+
+    out = np.zeros(CROWDS, np.int64)
+    for k, n in sets.select("grams").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[k] = n
+    return out
+
+
+def across(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(u, v) of different ``part`` that can have ``similarity``, by prefixes of ``sets`` (doc_id, part, grams).
+
+    Shingles are ordered by how many sets hold their bucket, rare ones first. Of two sets
+    that similar, a shingle is in the first 1 - ``similarity`` of both, and what follows
+    the first such on either side is enough for the overlap they need.
+    """
+    counts = crowds(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, part, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(grams, np.uint64)
+                n = len(x)
+                first = x[np.lexsort((x, counts[(x % CROWDS).astype(np.int64)]))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+                m = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *(pa.array(np.full(m, v, np.int64)) for v in (doc, part, n)), pa.array(np.arange(m))], ["gram", "doc", "part", "n", "at"])
+
+    rows = scratch.save(sets.select("doc_id", "part", "grams").where("length(grams) > 0").mapInArrow(run, "gram long, doc long, part long, n long, at long"))
+    shared = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
+    rows = scratch.save(rows.join(shared, "gram", "left_semi"))
+    x, y = rows.alias("x"), rows.alias("y")
+    need = f"least(x.n - x.at, y.n - y.at) >= (x.n + y.n) * {similarity / (1 + similarity)!r} - 1e-6"
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.doc < y.doc and x.part <> y.part").where(need)
+    return pairs.select(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")).distinct()
+
+
+def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(u, v) that connect what links of ``similarity`` connect, for documents that ``edges`` (u, v) connect on whatever way.
+
+    Edges that hold form parts. The edges are a forest, so where one fails, pairs that it
+    stands for may hold still: all documents of parts with a failed edge to another part are
+    compared with those of other parts.
+    """
+    edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
+    ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
+    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    hold = components(verified(edges, sets, similarity), scratch)
+    member = scratch.save(sets.select("doc_id").join(hold.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("part")))
+    ends_of = edges.join(member.select(F.col("doc_id").alias("u"), F.col("part").alias("p")), "u").join(member.select(F.col("doc_id").alias("v"), F.col("part").alias("q")), "v")
+    failed = ends_of.where("p <> q").select(F.explode(F.array("p", "q")).alias("part")).distinct()
+    left = scratch.save(member.join(failed, "part", "left_semi").join(sets, "doc_id").select("doc_id", "part", "grams"))
+    more = verified(scratch.save(across(left, similarity, scratch)), sets, similarity)
+    return hold.select("u", F.col("root").alias("v")).unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarity: float | None = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``: the smallest doc_id that its links reach, itself included.
 
     Without ``similarity`` links are fingerprints at most ``tau`` bits apart. With it, links
     are those of two fingerprints of different seeds whose shingle sets have that Jaccard
-    similarity: the edges of both spanning forests, and each document against the first of
-    its fingerprints. Shingles as similar as 0.8 have fingerprints some 10 bits apart, 0.9
-    some 7, hence the default of 11; a pair is missed only if it is further apart in both.
+    similarity, whether or not a spanning forest has them: equal texts are one node, and
+    where edges of the forests fail, what they connect is compared by shingles. Shingles as
+    similar as 0.8 have fingerprints some 10 bits apart, 0.9 some 7, hence the default of
+    11; a pair is missed only if it is further apart in both.
 
     Defined results: a null or empty text has no words and the fingerprint zero, which links
     like any other; fewer words than ``width`` are one shingle; equal fingerprints are one
@@ -348,17 +415,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarit
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     seeds = (SEED,) if similarity is None else (SEED, SECOND_SEED)
-    prints = scratch.save(fingerprints(docs, width, seeds))
+    prints = scratch.save(fingerprints(docs, width, seeds, similarity is not None))
+    if similarity is None:
+        nodes = scratch.save(prints.where("doc_id is not null").groupBy(F.col("fp0").alias("fp")).agg(F.min("doc_id").alias("id")))
+        roots = components(links(nodes, tau, scratch).select("u", "v"), scratch).select(F.col("u").alias("id"), "root")
+        member = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+        return prints.withColumnRenamed("fp0", "fp").join(member, "fp", "left").select("doc_id", "fp", "component_id")
+    texts = scratch.save(prints.where("doc_id is not null").groupBy("key", "fp0", "fp1").agg(F.min("doc_id").alias("id")))
     edges = None
     for i in range(len(seeds)):
-        nodes = scratch.save(prints.where("doc_id is not null").groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("doc_id").alias("id")))
-        found = links(nodes, tau, scratch).select("u", "v")
-        if similarity is None:
-            roots = components(found, scratch).select(F.col("u").alias("id"), "root")
-            member = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-            return prints.withColumnRenamed("fp0", "fp").join(member, "fp", "left").select("doc_id", "fp", "component_id")
-        same = prints.select("doc_id", F.col(f"fp{i}").alias("fp")).join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-        found = found.unionByName(same.where("u <> v"))
+        nodes = scratch.save(texts.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("id").alias("id")))
+        same = texts.select(F.col("id").alias("u"), F.col(f"fp{i}").alias("fp")).join(nodes.withColumnRenamed("id", "v"), "fp").select("u", "v")
+        found = links(nodes, tau, scratch).select("u", "v").unionByName(same)
         edges = found if edges is None else edges.unionByName(found)
-    roots = components(verified(docs, edges, width, similarity, scratch), scratch).select(F.col("u").alias("_id"), "root")
+    equal = prints.where("doc_id is not null").join(texts.select("key", "id"), "key").where("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    near = similar_links(docs, edges, width, similarity, scratch)
+    roots = components(near.unionByName(equal), scratch).select(F.col("u").alias("_id"), "root")
     return prints.join(roots, F.col("doc_id") == F.col("_id"), "left").select("doc_id", F.col("fp0").alias("fp"), F.coalesce("root", "doc_id").alias("component_id"))

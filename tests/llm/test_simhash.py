@@ -102,6 +102,28 @@ def test_near_duplicates(spark):
     assert exact[5] == exact[None] == 3 and exact[6] == exact[7] == exact[8] == 6
 
 
+def test_copies_among_pages_of_one_template_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(240)]
+    texts = []
+    for _ in range(150):
+        page = template + [word() for _ in range(64)]
+        copy = list(page)
+        for at in range(20, 300, 70):  # of 300 shingles 20 change: a similarity of 0.875
+            copy[at] = word()
+        texts += [page, copy]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    shingles = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in zip(order, texts, strict=True)}
+    fps = {i: simhash.fingerprint(" ".join(t), 5, (simhash.SEED, simhash.SECOND_SEED)) for i, t in zip(order, texts, strict=True)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in zip(order, texts, strict=True)], "doc_id long, text string")).collect()}
+    true = [(a, b) for a in shingles for b in shingles if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    near = [(a, b) for a, b in true if any((x ^ y).bit_count() <= 11 for x, y in zip(fps[a], fps[b], strict=True))]
+    assert len(near) > 140 and all(got[a] == got[b] for a, b in near)
+    assert all((min(a, b), max(a, b)) in set(true) for a, b in got.items() if a != b)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
