@@ -35,6 +35,8 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 #: HTML elements that end the block before them, and which of them stay open until closed.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul button".split())
 VOID = frozenset(["hr"])
+#: Inline elements that have no content and no closing tag.
+EMPTY = frozenset("area base basefont bgsound col embed frame img input keygen link meta param source track wbr".split())
 #: Opening one of these ends an open one of those.
 ENDS = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head", "title"}}
 #: Elements and class, id or role words that are not main text.
@@ -98,7 +100,7 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, str]]:
                 if stack and stack[-1][0] == tag:
                     yield from flush()
                     stack.pop()
-            elif "=" in attributes and not attributes.endswith("/") and _bad("", names := _attributes(attributes), True):
+            elif tag not in EMPTY and "=" in attributes and not attributes.endswith("/") and _bad("", names := _attributes(attributes), True):
                 yield from flush()
                 stack.append((tag, f"{tag}.{'.'.join(names)}", True))
             continue

@@ -60,3 +60,9 @@ def test_a_wrapper_has_the_slots_of_all_its_pages(order):
         wrapper = H.align(wrapper, streams[i])
     have = set(H.slots(wrapper))
     assert all(set(H.slots(s)) <= have for s in streams)
+
+
+@pytest.mark.parametrize("tag", ["<img class=banner src=x>", '<img class="header-image">', '<input class="search">', "<source class=promo>", "<wbr class=ad>"])
+def test_elements_without_content_exclude_nothing_after_them(tag):
+    html = f"<body><article>{tag}<p>one {tag}two</p><p>three</p></article></body>"
+    assert H.extract(html, H.regions(H.stream(html)[0])) == "one two\nthree"
