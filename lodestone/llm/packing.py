@@ -2,13 +2,14 @@
 
 Every document becomes its token ids followed by an end id. Cuts at multiples of the
 capacity give full sequences at once. What is left of documents gathers in groups of about
-``windows`` sequences inside a task, and each group is dealt into windows by largest
+``windows`` sequences inside a task and is cut before it is dealt: what is longer than half
+the capacity in equal parts, and one part in every two sequences' worth of tokens into
+halves, quarters and so on down to ``FINEST`` tokens. A group is dealt by largest
 differencing: the two partial partitions of largest imbalance merge, largest window against
-smallest, until one is left. Windows are then near-equal around the capacity, and few tokens
-have to be cut off those above it to fill those below it; what fills no window waits for
-the next group. At the end of a task the window count rises for what the capacity of full
-windows does not hold, so a task pads less than one sequence. Without ``cut`` documents' ends
-stay whole, and the window count of a group rises until no window exceeds the capacity.
+smallest, until one is left. The fine parts let windows come out equal to a few tokens, so
+the least possible number of windows nearly holds them; where one window exceeds the
+capacity the window count rises by one and the group is dealt again. Without ``cut``
+documents' ends stay whole and are dealt in the same way.
 
 There is no shuffle: a group never leaves its task, and a task holds the ids of one group
 only. Sequence ids are (partition id, counter in the partition), so a task that runs again
@@ -32,7 +33,9 @@ from .common import small_batches
 
 CAPACITY = 2048
 #: Sequences that one group fills, about.
-WINDOWS = 256
+WINDOWS = 512
+#: Tokens of the finest parts that even windows out, at least.
+FINEST = 4
 END_ID = 1
 
 
@@ -133,49 +136,34 @@ class _Piece:
         return _Piece(self.doc_id, self.start, self.ids[:at], self.total), _Piece(self.doc_id, self.start + at, self.ids[at:], self.total)
 
 
-def level(windows: list[list[_Piece]], capacity: int) -> list[_Piece]:
-    """Cut what exceeds the capacity off the ends of windows and fill the others with it, in place.
-
-    Returns what is left over; then all windows are full.
-    """
-    loose: list[_Piece] = []
-    room = []
-    for w in windows:
-        over = sum(len(p.ids) for p in w) - capacity
-        room.append(max(0, -over))
-        while over > 0:
-            p = w.pop()
-            if len(p.ids) > over:
-                kept, p = p.split(len(p.ids) - over)
-                w.append(kept)
-            over -= len(p.ids)
-            loose.append(p)
-    loose.reverse()
-    for w, free in zip(windows, room, strict=True):
-        while free and loose:
-            p = loose.pop()
-            if len(p.ids) > free:
-                p, rest = p.split(free)
-                loose.append(rest)
-            w.append(p)
-            free -= len(p.ids)
-    return loose
-
-
-def fill(pieces: list[_Piece], capacity: int, cut: bool, last: bool) -> tuple[list[list[_Piece]], list[_Piece]]:
-    """Windows for the pieces and, but at the end, what waits for more."""
-    sizes = np.array([len(p.ids) for p in pieces], np.int64)
-    total = int(sizes.sum())
+def parts(pieces: list[_Piece], capacity: int) -> list[_Piece]:
+    """The pieces, cut so that windows can come out equal."""
+    out: list[_Piece] = []
+    seen = 0
+    for p in pieces:
+        seen += len(p.ids)
+        n = -(-2 * len(p.ids) // capacity)
+        for i in range(n, 1, -1):
+            head, p = p.split(-(-len(p.ids) // i))
+            out.append(head)
+        if seen >= 2 * capacity and len(p.ids) >= 2 * FINEST:
+            seen = 0
+            while len(p.ids) >= 2 * FINEST:
+                head, p = p.split(-(-len(p.ids) // 2))
+                out.append(head)
+        out.append(p)
+    return out
+
+
+def fill(pieces: list[_Piece], capacity: int, cut: bool) -> list[list[_Piece]]:
+    """Windows for all of the pieces, none over the capacity."""
     if cut:
-        k = -(-total // capacity) if last else total // capacity
-        places, _ = differencing(sizes, k)
-    else:
-        places = deal(sizes, capacity)
-        k = int(places.max()) + 1
-    windows: list[list[_Piece]] = [[] for _ in range(k)]
+        pieces = parts(pieces, capacity)
+    places = deal(np.array([len(p.ids) for p in pieces], np.int64), capacity)
+    windows: list[list[_Piece]] = [[] for _ in range(int(places.max()) + 1)]
     for p, w in zip(pieces, places.tolist(), strict=True):
         windows[w].append(p)
-    return windows, level(windows, capacity) if cut else []
+    return [w for w in windows if w]
 
 
 def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, *, capacity: int = CAPACITY, windows: int = WINDOWS, cut: bool = True, keep_ids: bool = False) -> DataFrame:
@@ -224,14 +212,13 @@ def pack_documents(docs: DataFrame, paths: tuple[str, str] | None = None, *, cap
                     pending.append(_Piece(doc_id, whole, ids[whole:].copy(), len(ids)))  # not the whole text stays
                     held += len(ids) - whole
                 if held >= windows * capacity:
-                    full, pending = fill(pending, capacity, cut, False)
-                    for w in full:
+                    for w in fill(pending, capacity, cut):
                         put(w)
-                    held = sum(len(p.ids) for p in pending)
+                    pending, held = [], 0
                 if len(rows) >= (256 if keep_ids else 4096):
                     yield taken()
         if pending:
-            for w in fill(pending, capacity, cut, True)[0]:
+            for w in fill(pending, capacity, cut):
                 put(w)
         yield taken()
 
