@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -49,17 +48,29 @@ def test_against_brute_force(spark, name):
     assert run(spark, CASES[name]) == brute(CASES[name])
 
 
-@pytest.mark.parametrize("heavy", [0, 3, 1024])
-def test_random_with_any_number_of_heavy_keys(spark, monkeypatch, heavy):
-    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
-    rng = random.Random(heavy)
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_random_with_hot_lines_over_any_number_of_ranges(spark, partitions):
+    rng = random.Random(partitions)
     rows = [(rng.randint(0, 60), "\n".join(f"a line of kind {int(rng.paretovariate(1)) % 30}" for _ in range(rng.randint(0, 90)))) for _ in range(80)]
-    assert run(spark, rows) == brute(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_keep_bitmaps_hold_the_runs_that_stay(spark):
+    again = "a line that repeats"
+    rows = [(1, again), (2, "\n".join([*(f"fresh text number {i}" for i in range(40)), again])), (3, "\n".join([again, again, "another fresh line", again, "end of the fresh"])), (4, "nothing repeats here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r._doc: ([tuple(k) for k in r.keep], r.n_dropped) for r in line_dedup.line_bitmaps(docs).collect()}
+    assert got == {2: ([(0, 40), (41, None)], 1), 3: ([(0, 0), (2, 3), (4, None)], 3)}
 
 
-def test_bitmaps_hold_what_is_dropped(spark):
-    rows = [(1, "a line that repeats"), (2, "\n".join(["fresh text number %d" % i for i in range(40)] + ["a line that repeats"]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    r = line_dedup.line_bitmaps(docs).collect()
-    assert len(r) == 1 and list(r[0].words) == [0, 1 << 8] and r[0].n_dropped == 1
-    assert hashlib.sha256(rows[0][1].encode()).hexdigest()
+def test_a_long_document_has_a_short_bitmap(spark):
+    rows = [(1, "a line that repeats"), (2, "\n".join([str(i) for i in range(300_000)] + ["a line that repeats"]))]
+    r = line_dedup.line_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(r) == 1 and [tuple(k) for k in r[0].keep] == [(0, 300_000), (300_001, None)]
