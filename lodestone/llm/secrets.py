@@ -2,10 +2,12 @@
 
 Spans are code points, end exclusive. A pattern's matches are found by ``regexp_extract_all``
 and their places by ``split`` on the same pattern: what is between matches and the matches
-add up to the text. The model adds spans: runs of secret-like characters that no base span
-touches and whose mean log-likelihood ratio, random strings over ordinary identifiers, is
-above a threshold. Both models are character bigrams, counted with a groupBy over labelled
-samples; the table of ratios has at most 65 x 65 entries.
+add up to the text. Their lengths are summed in blocks, so that a text of many matches takes
+little more than linear time. The model adds spans: base spans are blanked out, and of the
+runs of secret-like characters that are left, left and right of base spans too, those go in
+whose log-likelihood ratio, random strings over ordinary identifiers, is above a threshold
+as a whole and for each character. Both models are character bigrams, counted with a groupBy
+over labelled samples; the table of ratios has 80 x 80 entries.
 """
 
 from __future__ import annotations
@@ -24,10 +26,16 @@ BASE = (
     ("hex", "(?<![0-9a-f])[0-9a-f]{16,}", 0, 16, "(?<![0-9a-f])[0-9a-f]{16}"),
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
-RUN = "(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{20,}+"
-#: A random string has digits; a run without any is left to the base patterns.
-RUN_TEST = "[0-9]"
-THRESHOLD = 0.55
+#: Characters of a run that is scored, as of the shortest value that the base kinds take.
+LEAST = 12
+#: Log-likelihood ratio above which a run is a secret: in all, and for each pair of characters.
+TOTAL, THRESHOLD = 10.0, 0.55
+#: A keyword glued to a hex or access run before it: only there base spans can overlap each other.
+GLUED = r"""(?i)[0-9a-z](?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
+#: Spans whose lengths are summed together.
+BLOCK = 512
+#: Code point of the first character in the table of ratios, and the table's width.
+LOW, SIDE = 43, 80
 
 #: Words of the ordinary identifiers that the model learns from.
 WORDS = """
@@ -52,26 +60,36 @@ WORDS = """
 """.split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """``n`` strings of each label (label 1: random, 0: identifiers) made by a rule: a bounded sample to learn from."""
+def labelled_samples(spark: SparkSession, n: int = 12000) -> DataFrame:
+    """``n`` strings of each label (label 1: random, 0: identifiers and words) made by a rule: a bounded sample to learn from."""
     ids = spark.range(n)
     digest = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")), 512)
-    random = ids.select(F.when(F.col("id") % 3 == 0, F.substring(digest, 1, 40)).otherwise(F.substring(F.base64(F.unhex(digest)), 1, 40)).alias("text"), F.lit(1).alias("label"))
+    coded = F.base64(F.unhex(digest))
+    bare = F.regexp_replace(coded, "[^A-Za-z0-9]", "")
+    made = [F.substring(digest, 1, 40), F.substring(coded, 1, 40), F.substring(bare, 1, 40), F.substring(bare, 1, 24), F.upper(F.substring(bare, 1, 32)), F.lower(F.substring(bare, 1, 32)), F.lower(F.regexp_replace(bare, "[0-9]", "")), F.regexp_replace(bare, "[0-9]", "")]
+    random = ids.select(F.element_at(F.array(*made), (F.col("id") % len(made) + 1).cast("int")).alias("text"), F.lit(1).alias("label"))
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64(F.lit(k), F.col("id")), F.lit(len(WORDS))) + 1).cast("int"))
     four = [word(k) for k in range(4)]
     number = F.pmod(F.xxhash64(F.lit("n"), F.col("id")), F.lit(10000)).cast("string")
-    styles = [F.concat_ws("_", *four, number), F.concat(four[0], *map(F.initcap, four[1:]), number), F.upper(F.concat_ws("_", *four, number)), F.concat_ws("/", *four, number)]
-    plain = ids.select(F.element_at(F.array(*styles), (F.col("id") % 4 + 1).cast("int")).alias("text"), F.lit(0).alias("label"))
+    letter = F.floor(F.col("id") / 14) % 26
+    caps = [four[0], *map(F.initcap, four[1:])]
+    styles = [
+        F.concat_ws("_", *four, number), F.concat(*caps, number), F.upper(F.concat_ws("_", *four, number)), F.concat_ws("/", *four, number),
+        F.concat(*caps), F.concat_ws("_", *four), F.concat(*four), F.concat(*map(F.initcap, four)), F.upper(F.concat(*four)), F.concat(four[0], F.lit("="), *caps[1:], F.lit("+"), F.lit("/"), four[0]), F.repeat(F.substring(number, 1, 1), 24), F.repeat(F.lit("="), 24),
+        F.concat(F.repeat(F.char(97 + letter), 24), number), F.repeat(F.char(65 + letter), 24),
+    ]
+    plain = ids.select(F.element_at(F.array(*styles), (F.col("id") % len(styles) + 1).cast("int")).alias("text"), F.lit(0).alias("label"))
     return random.unionByName(plain)
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of character pairs, by 66 x the first character's place + the second's.
+    """Log-likelihood ratios of character pairs, by SIDE x the first character's place after LOW + the second's.
 
     Counts are made in Spark; what reaches the driver is at most 2 x 66 x 66 rows. Characters
     outside the alphabet and null texts are left out; a pair never seen gets add-one counts.
     """
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(2)))
+    chars = F.split("text", "", -1)
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda x, y: F.concat(x, y))
     seen = samples.where("text is not null").select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count().collect()
     size = len(ALPHABET)
     counts = [[[1] * size for _ in range(size)] for _ in range(2)]
@@ -79,23 +97,46 @@ def train(samples: DataFrame) -> list[float]:
         if len(pair) == 2 and pair[0] in ALPHABET and pair[1] in ALPHABET:
             counts[label][ALPHABET.index(pair[0])][ALPHABET.index(pair[1])] += n
     log = [[[math.log(n / sum(row)) for n in row] for row in table] for table in counts]
-    return [log[1][i][j] - log[0][i][j] for i in range(size) for j in range(size)]
+    out = [0.0] * (SIDE * SIDE)
+    for i, c in enumerate(ALPHABET):
+        for j, d in enumerate(ALPHABET):
+            out[SIDE * (ord(c) - LOW) + ord(d) - LOW] = log[1][i][j] - log[0][i][j]
+    return out
 
 
-def _spans(text: str, pattern: str, group: int, least: int, kind: int) -> Column:
-    """Matches of ``pattern`` as an array of struct(start, kind, end) of those that are long enough."""
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+def _quoted(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _pieces(text: str, pattern: str, group: int) -> str:
+    """What stands between matches and the matches in turn: gap, m (null after the last one), long (of the group)."""
+    q = _quoted(pattern)
+    both = f"zip_with(split({text}, '{q}', -1), regexp_extract_all({text}, '{q}', 0), (gap, m) -> struct(gap as gap, m as m))"
+    if not group:
+        return f"transform({both}, x -> struct(x.gap as gap, x.m as m, char_length(x.m) as long))"
+    return f"zip_with({both}, regexp_extract_all({text}, '{q}', {group}), (x, g) -> struct(x.gap as gap, x.m as m, char_length(g) as long))"
+
+
+def _spans(pieces: str, least: int, kind: int, extra: str = "") -> Column:
+    """Matches of ``least`` or more as an array of struct(start, kind, end, long), with ``extra`` fields of the piece ``x``.
+
+    Places are sums of all lengths before. They are summed for blocks, then in each block,
+    as a growing array costs its length at each step.
+    """
+    blocks = f"transform(sequence(0, (size({pieces}) - 1) div {BLOCK}), b -> slice({pieces}, b * {BLOCK} + 1, {BLOCK}))"
+    step = "char_length(x.gap) + coalesce(char_length(x.m), 0)"
+    sums = f"transform({blocks}, k -> aggregate(k, 0, (n, x) -> n + {step}))"
+    offsets = f"aggregate({sums}, struct(0 as at, cast(array() as array<int>) as found), (acc, n) -> struct(acc.at + n as at, concat(acc.found, array(acc.at)) as found), acc -> acc.found)"
+    ends = f"(k, o) -> aggregate(k, struct(o as at, cast(array() as array<int>) as found), (acc, x) -> struct(acc.at + {step} as at, concat(acc.found, array(acc.at + char_length(x.gap))) as found), acc -> acc.found)"
+    starts = f"flatten(zip_with({blocks}, {offsets}, {ends}))"
     return F.expr(f"""
-        filter(
-          aggregate(
-            zip_with(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0),
-                     (gap, m) -> struct(char_length(gap) as gap, coalesce(char_length(m), -1) as long)),
-            struct(0 as at, cast(array() as array<struct<start: int, kind: int, end: int>>) as found),
-            (acc, x) -> struct(
-              acc.at + x.gap + greatest(x.long, 0) as at,
-              if(x.long < 0, acc.found, concat(acc.found, array(struct(acc.at + x.gap as start, {kind} as kind, acc.at + x.gap + x.long as end)))) as found),
-            acc -> transform(acc.found, (s, i) -> struct(s.start as start, s.kind as kind, s.end as end, char_length(regexp_extract_all({text}, '{quoted}', {group})[i]) as long))),
-          s -> s.long >= {least})""")
+        filter(zip_with({pieces}, {starts}, (x, s) -> struct(s as start, {kind} as kind, s + char_length(x.m) as end, x.long as long{extra})),
+               y -> y.long >= {least})""")
+
+
+def _blanked(text: str, pieces: str, least: int) -> Column:
+    """The text with blanks for the matches of ``least`` or more."""
+    return F.expr(f"if({pieces} is null, {text}, array_join(transform({pieces}, x -> concat(x.gap, if(x.long >= {least}, repeat(' ', char_length(x.m)), coalesce(x.m, '')))), ''))")
 
 
 NONE = "cast(array() as array<struct<start: int, kind: int, end: int, long: int>>)"
@@ -107,28 +148,37 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD, total: float = TOTAL, least: int = LEAST) -> DataFrame:
     """``docs`` with ``_base`` and ``_added``: arrays of struct(start, kind, end, long).
 
     Defined results: a null text is empty and has no spans; a match of a pattern takes its
     characters even if it is too short to count; the model's spans never touch base spans;
-    rows and their other columns pass through, repeated rows too.
+    rows and their other columns pass through, whatever their names, repeated rows too.
     """
-    size = len(ALPHABET)
-    out = docs.withColumn("_scan", F.coalesce("text", F.lit("")))
-    for k, (_, pattern, group, least, test) in enumerate(BASE):
-        out = out.withColumn(f"_spans{k}", F.when(F.col("_scan").rlike(test), _spans("_scan", pattern, group, least, k)).otherwise(F.expr(NONE)))
+    names = docs.columns
+    given = [f"c{i}" for i in range(len(names))]
+    out = docs.toDF(*given).withColumn("_text", F.coalesce(F.col(given[names.index("text")]).cast("string"), F.lit("")))
+    for k, (_, pattern, group, length, test) in enumerate(BASE):
+        out = out.withColumn(f"_pieces{k}", F.when(F.col("_text").rlike(test), F.expr(_pieces("_text", pattern, group))))
+        out = out.withColumn(f"_spans{k}", F.when(F.col(f"_pieces{k}").isNotNull(), _spans(f"_pieces{k}", length, k)).otherwise(F.expr(NONE)))
     out = out.withColumn("_base", F.concat(*(F.col(f"_spans{k}") for k in range(len(BASE)))))
-    runs = _spans("_scan", RUN, 0, 20, 3)
-    free = F.expr("filter(_runs, r -> not exists(_base, b -> b.start < r.end and r.start < b.end))")
-    table = F.array(*(F.lit(round(x, 6)) for x in ratios))
-    out = out.withColumn("_runs", F.when(F.col("_scan").rlike(RUN), runs).otherwise(F.expr(NONE))).withColumn("_runs", F.when(F.size("_runs") > 0, free).otherwise(F.col("_runs")))
-    out = out.withColumn("_runs", F.expr(f"filter(_runs, r -> substr(_scan, r.start + 1, r.long) rlike '{RUN_TEST}')"))
-    scored = f"""
-        filter(_runs, r -> aggregate(sequence(r.start + 1, r.end - 1), 0D, (acc, i) ->
-            acc + element_at(_ratios, {size} * (instr('{ALPHABET}', substr(_scan, i, 1)) - 1) + instr('{ALPHABET}', substr(_scan, i + 1, 1)))) / (r.long - 1) > {threshold})"""
-    out = out.withColumn("_ratios", F.when(F.size("_runs") > 0, table)).withColumn("_added", F.when(F.size("_runs") > 0, F.expr(scored)).otherwise(F.expr(NONE)))
-    return out.select(*docs.columns, "_base", "_added")
+    # What an assignment's value holds goes with it; hex and access runs outside stay the same when it is blank.
+    out = out.withColumn("_left", _blanked("_text", "_pieces0", BASE[0][3]))
+    for _, pattern, _, length, test in BASE[1:]:
+        q = _quoted(pattern)
+        blank = F.expr(f"array_join(zip_with(split(_left, '{q}', -1), regexp_extract_all(_left, '{q}', 0), (gap, m) -> concat(gap, coalesce(repeat(' ', char_length(m)), ''))), '')")
+        out = out.withColumn("_left", F.when(F.col("_left").rlike(test), blank).otherwise(F.col("_left")))
+    run = f"(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{{{least},}}+"
+    out = out.withColumn("_runs", F.when(F.col("_left").rlike(run), F.expr(_pieces("_left", run, 0))))
+    out = out.withColumn("_ratios", F.when(F.col("_runs").isNotNull(), F.array(*(F.lit(round(x, 6)) for x in ratios))))
+    pairs = f"zip_with(slice(k, 1, size(k) - 1), slice(k, 2, size(k) - 1), (c, d) -> element_at(_ratios, {SIDE} * (ascii(c) - {LOW}) + ascii(d) - {LOW} + 1))"
+    # One element, so that the characters are split once.
+    score = f"aggregate(transform(array(regexp_extract_all(x.m, '.', 0)), k -> aggregate({pairs}, 0D, (n, r) -> n + r)), 0D, (n, r) -> n + r)"
+    scored = _spans("_runs", least, 3, f", {score} as score")
+    found = F.when(F.col("_runs").isNotNull(), F.filter(scored, lambda y: (y["score"] > total) & (y["score"] > threshold * (y["long"] - 1))))
+    out = out.withColumn("_found", F.transform(found, lambda y: F.struct(y["start"].alias("start"), y["kind"].alias("kind"), y["end"].alias("end"), y["long"].alias("long"))))
+    out = out.withColumn("_found", F.when(F.col("_text").rlike(GLUED), F.expr("filter(_found, r -> not exists(_base, b -> b.start < r.end and r.start < b.end))")).otherwise(F.col("_found")))
+    return out.select(*given, "_base", F.coalesce("_found", F.expr(NONE)).alias("_added")).toDF(*names, "_base", "_added")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -31,7 +33,11 @@ TEXTS = [
 
 def test_base_spans_against_brute_force(spark, ratios):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, _spans0 string")
-    rows = secrets.digest(secrets.scan(docs.select("doc_id", "text"), ratios)).collect()
+    docs = docs.selectExpr("*", "'kept' as _left", "1 as _ratios", "2 as _runs", "'kept' as c1")
+    scanned = secrets.scan(docs, ratios)
+    assert scanned.columns == [*docs.columns, "_base", "_added"]
+    assert {tuple(r) for r in scanned.select("_spans0", "_left", "_ratios", "_runs", "c1").collect()} == {("clash", "kept", 1, 2, "kept")}
+    rows = secrets.digest(scanned).collect()
     assert len(rows) == 2 * len(TEXTS)
     for r in rows:
         expected = brute(TEXTS[r.doc_id % len(TEXTS)])
@@ -49,16 +55,65 @@ def test_model_adds_random_strings_and_leaves_identifiers(spark, ratios):
     assert [spans[i] for i in range(1, 5)] == [""] * 4
 
 
+RUN = re.compile("(?<![A-Za-z0-9+/_=])[A-Za-z0-9+/_=]{12,}")
+
+
+def brute_added(text, ratios):
+    """Runs of the text with base spans blank, scored one character after another."""
+    chars = list(text)
+    for _, p, g, n in KINDS:
+        for m in p.finditer(text):
+            if len(m[g]) >= n:
+                chars[m.start() : m.end()] = " " * (m.end() - m.start())
+    out = []
+    for m in RUN.finditer("".join(chars)):
+        score = sum(ratios[secrets.SIDE * (ord(x) - secrets.LOW) + ord(y) - secrets.LOW] for x, y in zip(m[0], m[0][1:], strict=False))
+        if score > secrets.TOTAL and score > secrets.THRESHOLD * (len(m[0]) - 1):
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans_against_brute_force(spark, ratios):
+    rng = random.Random(4)
+    some = [
+        lambda: "".join(rng.choices(secrets.ALPHABET, k=rng.randint(8, 60))), lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(10, 40))),
+        lambda: "_".join(rng.choices(secrets.WORDS, k=3)), lambda: "é😀", lambda: "token = " + "".join(rng.choices("abcdef0123456789xyz", k=20)), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(10, 40))),
+    ]
+    texts = ["".join(rng.choice(some)() + rng.choice(" \n-/+.é") for _ in range(rng.randint(1, 30))) for _ in range(150)]
+    rows = secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratios)).collect()
+    hits = 0
+    for r in rows:
+        found = [x for x in r.spans.split(",") if x.startswith("markov")]
+        assert found == brute_added(texts[r.doc_id], ratios)
+        hits += len(found)
+    assert hits > 200
+
+
+def test_runs_without_digits_and_runs_beside_base_spans(spark, ratios):
+    key = "qWzXkVjRpMtBnHgDfCsLxYbQ"
+    text = f"see {key} and {key}/0123456789abcdef0123/{key}"
+    (r,) = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios)).collect()
+    assert r.spans.split(",") == ["markov:4:28", "markov:33:58", "hex:58:78", "markov:78:103"]
+
+
+@pytest.mark.parametrize("text", ["".join(random.Random(1).choices(secrets.ALPHABET, k=1_000_000)), "0123456789abcdef0 " * 100_000, "qWzXkVjRpMtBnHgDfCsL " * 100_000])
+def test_very_long_texts_take_seconds(spark, ratios, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    (r,) = secrets.digest(secrets.scan(docs, ratios)).collect()
+    assert time.perf_counter() - start < 30 and r.spans.count(":") >= 2
+
+
 def test_model_tells_labelled_samples_apart(spark, ratios):
-    docs = secrets.labelled_samples(spark, 300).selectExpr("cast(row_number() over (order by label, text) as long) as doc_id", "text", "label")
-    docs = docs.where("char_length(text) >= 20 and text rlike '[0-9]'")
+    docs = secrets.labelled_samples(spark, 24000).selectExpr("cast(row_number() over (order by label, text) as long) as doc_id", "text", "label")
+    docs = docs.where("char_length(text) >= 20")
     rows = {r.doc_id: r for r in secrets.digest(secrets.scan(docs.select("doc_id", "text"), ratios)).collect()}
     labels = {r.doc_id: r.label for r in docs.collect()}
-    hits = [(labels[i], bool(r.spans)) for i, r in rows.items()]
-    assert sum(h for y, h in hits if y) > 0.9 * sum(y for y, _ in hits)
+    hits = [(labels[i], bool(r.spans) if labels[i] else "markov" in r.spans) for i, r in rows.items()]  # repeated digits are base spans
+    assert sum(h for y, h in hits if y) > 0.95 * sum(y for y, _ in hits)
     assert sum(h for y, h in hits if not y) < 0.02 * sum(not y for y, _ in hits)
 
 
 def test_empty_table(spark, ratios):
     assert secrets.digest(secrets.scan(spark.createDataFrame([], "doc_id long, text string"), ratios)).count() == 0
-    assert secrets.train(spark.createDataFrame([], "text string, label int")) == [0.0] * len(secrets.ALPHABET) ** 2
+    assert secrets.train(spark.createDataFrame([], "text string, label int")) == [0.0] * secrets.SIDE**2
