@@ -29,7 +29,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="
 #: Characters of a run that is scored, as of the shortest value that the base kinds take.
 LEAST = 12
 #: Log-likelihood ratio above which a run is a secret: in all, and for each pair of characters.
-TOTAL, THRESHOLD = 10.0, 0.55
+TOTAL, THRESHOLD = 18.0, 0.8
 #: A keyword glued to a hex or access run before it: only there base spans can overlap each other.
 GLUED = r"""(?i)[0-9a-z](?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 #: Spans whose lengths are summed together.
@@ -178,7 +178,9 @@ def scan(docs: DataFrame, ratios: list[float], *, threshold: float = THRESHOLD,
     found = F.when(F.col("_runs").isNotNull(), F.filter(scored, lambda y: (y["score"] > total) & (y["score"] > threshold * (y["long"] - 1))))
     out = out.withColumn("_found", F.transform(found, lambda y: F.struct(y["start"].alias("start"), y["kind"].alias("kind"), y["end"].alias("end"), y["long"].alias("long"))))
     out = out.withColumn("_found", F.when(F.col("_text").rlike(GLUED), F.expr("filter(_found, r -> not exists(_base, b -> b.start < r.end and r.start < b.end))")).otherwise(F.col("_found")))
-    return out.select(*given, "_base", F.coalesce("_found", F.expr(NONE)).alias("_added")).toDF(*names, "_base", "_added")
+    # A generator of one row: filters on the results stay above it, where they would otherwise multiply these expressions.
+    found = F.inline(F.array(F.struct("_base", F.coalesce("_found", F.expr(NONE)).alias("_added"))))
+    return out.select(*given, found).toDF(*names, "_base", "_added")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
