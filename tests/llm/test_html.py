@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from lodestone.llm import html_extract as H
@@ -39,30 +42,96 @@ def test_empty_table_and_long_pages(spark):
     assert got == "\n".join(["Head", *(f"paragraph {i}" for i in range(5000))])
 
 
+def marks(items):
+    return [[x[0], marks(x[1])] if isinstance(x, list) else x for x in items]
+
+
 def test_folding_and_alignment():
     a = H.fold(list("xabababy"))
     assert a == ["x", ["+", ["a", "b"]], "y"]
-    once = H.fold(list("xaby"))
-    assert H.fold(list("aaab")) == [["+", ["a"]], "b"]
-    wrapper = H.align(H.fold(["<p", "<p", ">p"]), ["<p", ">p", "<q"])
-    assert wrapper[-1] == ["?", ["<q"]]
+    assert H.fold(list("aaab")) == [["+", ["a"]], "b"] and H.fold(list("xaby")) == list("xaby")
+    assert H.align(a, list("xaby")) == a  # once meets repeated
     merged = H.align(["a", "b", "c"], ["a", "c"])
     assert merged == ["a", ["?", ["b"]], "c"]
     assert H.align(merged, ["a", "b", "c"]) == merged and H.align(merged, ["a", "c"]) == merged
-    assert once == list("xaby")
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
-def test_a_wrapper_has_the_slots_of_all_its_pages(order):
-    streams = [H.stream(p)[0] for p in (page("a", "b"), page("a", extra="<aside>s</aside>"), page("x", tail="<div class=box><p>in box</div></article>"))]
-    wrapper = streams[order[0]]
-    for i in order[1:]:
-        wrapper = H.align(wrapper, streams[i])
-    have = set(H.slots(wrapper))
-    assert all(set(H.slots(s)) <= have for s in streams)
+def raw(page):
+    """A page's tokens, as text: tags and slot keys."""
+    return [x.key if isinstance(x, H.Slot) else x for x in H.tokens(page)[0]]
+
+
+def expression(wrapper, codes):
+    """The wrapper as a regular expression over one character for each token."""
+    return "".join(f"(?:{expression(x[1], codes)}){'' if not x[0] else x[0]}" if isinstance(x, list) else re.escape(codes[x.key if isinstance(x, H.Slot) else x]) for x in wrapper)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_every_page_matches_the_wrapper_of_its_host(seed):
+    """Brute force: the wrapper, as a plain regular expression, takes every page's tokens whole, in whatever order pages come."""
+    rng = random.Random(seed)
+
+    def some():
+        parts = [f"<p>{rng.choice('abc')}</p>" * rng.randint(0, 3), f"<ul>{'<li>x</li>' * rng.randint(0, 4)}</ul>" * rng.randint(0, 2), "<div class=box><h2>t</h2><p>y</p></div>" * rng.randint(0, 3), "<aside>s</aside>"]
+        rng.shuffle(parts)
+        return page(*("z" * rng.randint(1, 2) for _ in range(rng.randint(0, 3))), extra="".join(parts[: rng.randint(0, 4)]))
+
+    pages = [some() for _ in range(8)]
+    wrapper = H.stream(pages[0])
+    for p in pages[1:]:
+        wrapper = H.align(wrapper, H.stream(p))
+    wrapper = H.unpacked(H.packed(wrapper))
+    codes = {t: chr(0x4E00 + i) for i, t in enumerate(sorted({t for p in pages for t in raw(p)}))}
+    for p in pages:
+        assert re.fullmatch(expression(wrapper, codes), "".join(codes[t] for t in raw(p)))
+
+
+def host_texts(pages):
+    wrapper = H._merge([H.packed(H.stream(p)) for p in pages])
+    return [H.extract(p, H.choice(wrapper)) for p in pages]
+
+
+@pytest.mark.parametrize(
+    ("around", "expected"),
+    [
+        ("<body class='single comments-open'><article><h1>T</h1><p>%s</p><p>two</p></article></body>", "T\n%s\ntwo"),
+        ("<body class='home has-sidebar'><div id=x><h1>T</h1><p>%s</p></div></body>", "T\n%s"),
+        ("<body><article class='post share-enabled'><p>%s</p></article></body>", "%s"),
+        ("<body><div data-id='notice'><p>%s</p><p>more</p></div></body>", "%s\nmore"),
+        ("<main><h1 class='article-title'>T</h1><div class='body'><p>%s</p></div></main>", "T\n%s"),
+        ("<body><div class='ad'>buy</div><div class='wrap sidebar-left'><p>%s</p></div></body>", "%s"),
+    ],
+)
+def test_names_around_the_article_empty_no_page(around, expected):
+    for texts in (["some long text of the article here"], ["some long text of the article here", "quite another long text of another page"]):
+        assert host_texts([around % t for t in texts]) == [expected % t for t in texts]
+
+
+SHOP = "<body><div class=x1><div>Shop of the year</div><div class=x2><p>%s</p><div>Read more at our shop</div><p>%s</p></div><div>All rights</div></div></body>"
+
+
+def test_alignment_decides_what_is_content():
+    texts = [("first page has this long paragraph", "and this one"), ("the second page says something else", "and ends so")]
+    pages = [SHOP % t for t in texts]
+    assert host_texts(pages) == ["\n".join(t) for t in texts]  # what both pages hold alike is the template's
+    assert host_texts(pages[:1])[0] != "\n".join(texts[0])  # one page cannot tell
+    assert host_texts([pages[0], pages[0]]) == host_texts(pages[:1]) * 2 and "Read more" in host_texts(pages[:1])[0]
+
+
+def test_partial_wrappers_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(H, "FAN_IN", 2)
+    texts = [(f"page {i} has the long paragraph number {i * 7}", f"and an end of its own {i}") for i in range(40)]
+    rows = [(i, "http://hot.com/%d" % i, SHOP % t) for i, t in enumerate(texts)]
+    out = H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)).collect()
+    assert {r.page_id: r._main for r in out} == {i: "\n".join(t) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("tag", ["<img class=banner src=x>", '<img class="header-image">', '<input class="search">', "<source class=promo>", "<wbr class=ad>"])
 def test_elements_without_content_exclude_nothing_after_them(tag):
     html = f"<body><article>{tag}<p>one {tag}two</p><p>three</p></article></body>"
-    assert H.extract(html, H.regions(H.stream(html)[0])) == "one two\nthree"
+    assert H.extract(html, None) == "one two\nthree"
+
+
+def test_deep_nesting():
+    deep = "<div>" * 3000 + "<p>text</p>" + "</div>" * 3000
+    assert H.extract(f"<body>{deep}</body>", None) == "text"
