@@ -5,9 +5,12 @@ learned filters slide over the bytes, each filter's largest response is kept, an
 head turns these into the chunk's logit. The text's probability combines the mean, largest
 and smallest logit of all its chunks. Only bytes are inputs.
 
-The network learns on the driver from a bounded sample of labelled rows (``SAMPLE`` of each
-class, up to ``TAKEN`` chunks of each text); every row is then scored in its own task, with
-the model of some 25 kB in the closure. No shuffle but for the sample.
+The network learns from a bounded sample of labelled rows (``SAMPLE`` of each class). All
+chunks of their whole texts take part: the filters learn on the driver from ``CHUNKS`` chunks
+of each class, drawn by hash from all of them, and the last step, from a text's chunks to one
+probability, from all chunks of the texts, whose logits are summed up in tasks. Every row is
+then scored in its own task, with the model of some 25 kB in the closure. No shuffle but for
+the sample.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .common import small_batches
 
 #: Bytes of a chunk, bytes from one chunk's start to the next, bytes of a filter, from one place of it to the next.
 CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 2
 EMBED, FILTERS, HIDDEN = 8, 32, 16
-#: Labelled rows of each class, and chunks of each text, that the network learns from.
-SAMPLE, TAKEN = 1500, 6
+#: Labelled rows of each class that the network learns from, and chunks of each class that reach the driver.
+SAMPLE, CHUNKS = 1500, 9000
 STEPS, BATCH, RATE = 700, 96, 4e-3
 THRESHOLD = 0.7
 
@@ -89,18 +93,14 @@ def _summary(logits: np.ndarray) -> np.ndarray:
     return np.array([logits.mean(), logits.max(), logits.min(), np.log(len(logits))])
 
 
-def fit(texts: list[list[bytes]], labels: list[int], odds: float = 1.0, seed: int = 7) -> Network | None:
-    """Train on chunks: ``texts`` holds each text's chunks as bytes. None without both classes.
-
-    Classes count alike in training; ``odds`` of label 1 in the population then shift the probability.
-    """
+def fit(parts: list[bytes], labels: list[int], seed: int = 7) -> Network | None:
+    """Train the filters and the head on chunks and the labels of their texts. None without both classes; classes count alike."""
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(seed)
-    made = [chunks_of(c, [0]) for text in texts for c in text]
+    made = [chunks_of(c, [0]) for c in parts]
     chunks, full = np.concatenate([c for c, _ in made]), np.concatenate([f for _, f in made])
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    y = np.array(labels, np.float32)[owner]
+    y = np.array(labels, np.float32)
     r = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     net = Network(rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), r(EMBED * WIDTH, FILTERS), np.zeros(FILTERS, np.float32), r(FILTERS + 1, HIDDEN), np.zeros(HIDDEN, np.float32), r(HIDDEN), np.zeros(1, np.float32), np.zeros(5), np.zeros(4), np.ones(4))
     names = ["embed", "filters", "bias", "hidden", "hidden_bias", "out", "out_bias"]
@@ -134,13 +134,15 @@ def fit(texts: list[list[bytes]], labels: list[int], odds: float = 1.0, seed: in
             m[k] = 0.9 * m[k] + 0.1 * grad
             v[k] = 0.999 * v[k] + 0.001 * grad**2
             getattr(net, k)[...] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    logits = net.logits(chunks, full)
-    cuts = np.r_[0, np.cumsum([len(t) for t in texts])]
-    s = np.array([_summary(logits[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
-    net.centre, net.scale = s.mean(0), s.std(0) + 1e-3
-    z = np.c_[(s - net.centre) / net.scale, np.ones(len(s))]
+    return net
+
+
+def combine(net: Network, summaries: np.ndarray, labels: list[int], odds: float = 1.0) -> Network:
+    """Learn how the summaries of texts' logits give a probability; classes count alike, ``odds`` of label 1 then shift it."""
+    net.centre, net.scale = summaries.mean(0), summaries.std(0) + 1e-3
+    z = np.c_[(summaries - net.centre) / net.scale, np.ones(len(summaries))]
     t = np.array(labels, float)
-    weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))  # classes count alike
+    weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
     for _ in range(30):  # Newton steps of a logistic regression, slightly shrunk
         p = 1 / (1 + np.exp(-np.clip(z @ net.combine, -30, 30)))
         h = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.05 * len(z) * np.diag([0.01, 0.01, 0.01, 0.01, 0.0]) + 1e-6 * np.eye(5)
@@ -150,33 +152,60 @@ def fit(texts: list[list[bytes]], labels: list[int], odds: float = 1.0, seed: in
 
 
 def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """(quality, parts): at most ``n`` labelled rows of each class that are not held out, and chunks of their texts.
+    """(id, quality, text): at most ``n`` labelled rows of each class that are not held out.
 
-    Rows are taken by the hash of their id. Only chunks leave the executors: at most
-    2 n x TAKEN x CHUNK bytes.
+    Rows are taken by the hash of their id. Of labels that contradict each other the lowest
+    holds; of rows that share an id the one of the least text hash.
     """
-    small_batches(docs.sparkSession)
-    usable = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where("_id is not null").dropDuplicates(["_id"])
+    usable = labels.where(~held_out(F.col("doc_id"))).where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("_quality"))
     one = lambda c: usable.where(f"_quality = {c}").orderBy(F.xxhash64("_id"), "_id").limit(n)
-    picked = docs.select("doc_id", "text").join(F.broadcast(one(0).unionByName(one(1))), F.col("doc_id") == F.col("_id"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("_text")).join(F.broadcast(one(0).unionByName(one(1))), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id", "_quality").agg(F.min_by("_text", F.xxhash64("_text")).alias("text")).select(F.col("_id").cast("long").alias("id"), F.col("_quality").alias("quality"), "text")
+
+
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(quality, part) of all chunks of the rows' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for text in b.column(1).to_pylist():
-                data = (text or "").encode()
-                k = min(TAKEN, len(starts_of(len(data))))
-                parts.append([data[s : s + CHUNK] for s in ([(len(data) - CHUNK) * i // (k - 1) for i in range(k)] if k > 1 else [0])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.list_(pa.binary()))], ["quality", "parts"])
+            for quality, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = text.encode()
+                parts = [data[s : s + CHUNK] for s in starts_of(len(data))]
+                yield pa.RecordBatch.from_arrays([pa.array([quality] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["quality", "part"])
 
-    return picked.select(F.col("_quality").cast("int"), F.col("text").cast("string")).mapInArrow(run, "quality int, parts array<binary>")
+    return rows.select("quality", "text").mapInArrow(run, "quality int, part binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    """A network from the labelled rows of ``docs``; None if a class has no rows."""
+    """A network from the labelled rows of ``docs``; None if a class has no rows.
+
+    The driver gets at most 2 x CHUNKS chunks and then four numbers for each sampled row.
+    """
+    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality")
     there = {int(r.quality): r.n for r in labels.where(~held_out(F.col("doc_id"))).where("quality in (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rows = sorted((int(r.quality), [bytes(p) for p in r.parts]) for r in sample(docs, labels).collect())[: 4 * SAMPLE]
-    return fit([p for _, p in rows], [q for q, _ in rows], there.get(1, 1) / there.get(0, 1))
+    rows = scratch.save(sample(docs, labels))
+    chunks = _chunks(rows)
+    order = [F.xxhash64("part"), F.col("part")]
+    taken = chunks.where("quality = 0").orderBy(*order).limit(CHUNKS).unionByName(chunks.where("quality = 1").orderBy(*order).limit(CHUNKS)).collect()
+    net = fit([bytes(r.part) for r in taken], [r.quality for r in taken])
+    if net is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [_summary(_logits(net, text.encode())) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tolist() for x in sums], pa.list_(pa.float64()))], ["id", "quality", "sums"])
+
+    found = sorted(tuple(r) for r in rows.mapInArrow(run, "id long, quality int, sums array<double>").collect())
+    return combine(net, np.array([x for *_, x in found]), [q for _, q, _ in found], there[1] / there[0])
+
+
+def _logits(net: Network, data: bytes, block: int = 4096) -> np.ndarray:
+    """Logits of all chunks of a text, a block of them at a time."""
+    starts = starts_of(len(data))
+    return np.concatenate([net.logits(*chunks_of(data, starts[i : i + block])) for i in range(0, len(starts), block)])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -206,6 +235,11 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                     scores.append(1.0)
                     continue
                 data = (text or "").encode()
+                if len(data) > 4096 * STEP:  # a very long text by itself, in blocks
+                    if held:
+                        settle()
+                    scores.append(net.probability(_logits(net, data)))
+                    continue
                 held.append(chunks_of(data, starts_of(len(data))))
                 if sum(len(c) for c, _ in held) >= 256:
                     settle()

@@ -50,3 +50,20 @@ def test_without_labels(spark):
     net = quality.train(docs, labels)
     assert net is None and {r._score for r in quality.score(docs, net).collect()} == {1.0}
     assert quality.train(docs, labels.limit(0)) is None
+
+
+def test_sample_takes_one_text_and_one_label_for_each_id(spark):
+    docs = spark.createDataFrame([(4, f"text {i}") for i in range(20)] + [(1, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(4, 1), (4, 0), (4, 1), (1, 1), (3, 1), (3, 5)], "doc_id long, quality int")
+    rows = {r.id: r for r in quality.sample(docs, labels, 2).collect()}
+    assert {i: r.quality for i, r in rows.items()} == {i: 0 if i == 4 else 1 for i in (4, 1, 3) if zlib.crc32(str(i).encode()) % 4 != 2}
+    again = quality.sample(docs.repartition(3), labels.repartition(2), 2).collect()
+    assert {r.id: r.text for r in again} == {i: r.text for i, r in rows.items()}
+
+
+def test_very_long_text_scores_like_its_blocks(spark, net, monkeypatch):
+    data = b"The thing that was there is of the and to be with this. " * 50_000
+    whole = net.logits(*quality.chunks_of(data, quality.starts_of(len(data))))
+    assert abs(whole - quality._logits(net, data, block=100)).max() < 1e-4
+    row = quality.score(spark.createDataFrame([(1, data.decode())], "doc_id long, text string"), net).first()
+    assert abs(row._score - net.probability(whole)) < 1e-6
