@@ -7,11 +7,14 @@ Messages that carry tools are JSON objects in ``text``:
 * system: ``{"content": ..., "tools": [{"name", "parameters": <JSON schema>}]}``
 
 Any other text is plain content. Calls and results are hash-joined by (conversation, id).
-Arguments are checked against the schema of their tool: required names are there, types and
-enumerations hold, and no further names where the schema forbids them. Messages get a
-topological order, (order_turn, order_level, turn): a result stands after its call, a call after the
-results that it depends on, and turns decide otherwise. Each message is one row of canonical JSON (keys sorted, no spaces), so a
-conversation of any length gathers in no task; plain messages pass without a shuffle.
+Arguments are checked against the schema of their tool, objects and arrays in them to any
+depth: types (one or a list), enumerations, bounds, required names, and no further names where
+the schema forbids them. Where a schema asks for more than this (``NOT_CHECKED``) and nothing
+checked is wrong, the verdict is null. Messages get a topological order, (order_turn,
+order_level, turn): a result stands after its call, a call after the results that it depends
+on, and turns decide otherwise. Each message is one row of canonical JSON (keys sorted, no
+spaces), so a conversation of any length gathers in no task; plain messages pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -25,42 +28,72 @@ from .common import hash128
 CALLS = "struct<content: string, tool_calls: array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>>"
 RESULT = "struct<tool_call_id: string, content: string>"
 TOOLS = "struct<content: string, tools: array<struct<name: string, parameters: string>>>"
-SCHEMA = "struct<properties: map<string, string>, required: array<string>, additionalProperties: string>"
-PROPERTY = "struct<type: string, enum: array<string>>"
-#: JSON type of a schema, and the types of a parsed value that it admits.
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY<.*", "object": "OBJECT<.*"}
-
-
-def _checked(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """``calls`` with ``valid``: false if arguments break the schema, null if the tool has none."""
+SCHEMA = "struct<type: string, enum: string, minimum: double, maximum: double, required: array<string>, properties: map<string, string>, additionalProperties: string, items: string>"
+#: JSON type of a schema, and the types of a parsed value that it admits; whole numbers count as integers however they are written.
+TYPES = {"string": "STRING", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY<.*", "object": "OBJECT<.*"}
+#: Keywords of schemas that are not checked.
+NOT_CHECKED = """
+    $ref $dynamicRef allOf anyOf oneOf not if const pattern format minLength maxLength exclusiveMinimum exclusiveMaximum multipleOf minItems maxItems
+    uniqueItems contains prefixItems minProperties maxProperties patternProperties propertyNames dependentRequired dependentSchemas
+""".split()
+
+
+def _wrong(value: str) -> F.Column:
+    """Whether the parsed JSON ``value`` breaks the schema node ``s`` itself; what is inside it is a node of its own."""
+    kind = f"schema_of_variant({value})"
+    number = f"try_variant_get({value}, '$', 'double')"
+    whole = f"coalesce({kind} = 'BIGINT' OR {kind} RLIKE '^DECIMAL\\\\([0-9]+,0\\\\)$' OR ({kind} RLIKE '^({TYPES['number']})$' AND {number} = floor({number})), false)"
+    admits = " OR ".join([*(f"(t = '{t}' AND {kind} RLIKE '^({v})$')" for t, v in TYPES.items()), f"(t = 'integer' AND {whole})"])
+    types = "if(s.type LIKE '[%', from_json(s.type, 'array<string>'), array(s.type))"
+    keys = f"coalesce(json_object_keys(to_json({value})), cast(array() as array<string>))"
+    return F.expr(f"""
+        (s.type IS NOT NULL AND NOT exists({types}, t -> {admits}))
+        OR (s.enum IS NOT NULL AND NOT array_contains(transform(from_json(s.enum, 'array<string>'), x -> coalesce(x, 'null')), coalesce(try_variant_get({value}, '$', 'string'), 'null')))
+        OR coalesce({number} < s.minimum OR {number} > s.maximum, false)
+        OR ({kind} LIKE 'OBJECT<%' AND (
+             size(array_except(coalesce(s.required, cast(array() as array<string>)), {keys})) > 0
+             OR (coalesce(s.additionalProperties = 'false', false) AND size(array_except({keys}, coalesce(map_keys(s.properties), cast(array() as array<string>)))) > 0)))""")
+
+
+def _checked(calls: DataFrame, tools: DataFrame, scratch: Scratch) -> DataFrame:
+    """``calls`` with ``valid``: false if arguments break the schema, null if the tool has none or it asks for more than is checked.
+
+    Nodes, values with their schemas, are checked level by level; there are as many rounds
+    as schemas are deep where arguments follow them.
+    """
     known = tools.groupBy("conv", "name").agg(F.min("parameters").alias("parameters"))  # of repeated tools the first by text
-    with_schema = calls.join(known, ["conv", "name"], "left").withColumn("schema", F.from_json("parameters", SCHEMA))
-    keys = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
-    missing = F.size(F.array_except(F.coalesce("schema.required", F.array().cast("array<string>")), keys)) > 0
-    further = (F.col("schema.additionalProperties") == "false") & (F.size(F.array_except(keys, F.coalesce(F.map_keys("schema.properties"), F.array().cast("array<string>")))) > 0)
-    with_schema = with_schema.withColumn("shape", F.expr("try_parse_json(arguments)").isNotNull() & F.json_object_keys("arguments").isNotNull() & ~missing & ~F.coalesce(further, F.lit(False)))
-    with_schema.createOrReplaceTempView("_lodestone_calls")
-    rule = " OR ".join(f"(p.type = '{t}' AND schema_of_variant(value) RLIKE '^({v})$')" for t, v in TYPES.items())
-    wrong = calls.sparkSession.sql(f"""
-        SELECT a, b, idx, count_if(NOT (p.type IS NULL OR {rule}) OR (p.enum IS NOT NULL AND NOT array_contains(p.enum, coalesce(try_variant_get(value, '$', 'string'), '')))) AS n_wrong
-        FROM (SELECT a, b, idx, key, value, from_json(schema.properties[key], '{PROPERTY}') AS p
-              FROM _lodestone_calls, LATERAL variant_explode(if(shape, try_parse_json(arguments), NULL))
-              WHERE map_contains_key(coalesce(schema.properties, map()), key))
-        GROUP BY a, b, idx""")
-    out = with_schema.join(wrong, ["a", "b", "idx"], "left")
-    return out.withColumn("valid", F.when(F.col("parameters").isNotNull(), F.col("shape") & (F.coalesce("n_wrong", F.lit(0)) == 0))).drop("parameters", "schema", "shape", "n_wrong")
+    asked = scratch.save(calls.join(known, ["conv", "name"]).select("a", "b", "idx", "arguments", "parameters"))
+    shaped = F.json_object_keys("arguments").isNotNull() & F.expr("try_parse_json(arguments)").isNotNull()
+    verdicts = asked.select("a", "b", "idx", F.coalesce(~shaped, F.lit(True)).alias("wrong"), F.lit(False).alias("open"))
+    more = " OR ".join(f"array_contains(json_object_keys(schema), '{k}')" for k in NOT_CHECKED)
+    nodes = asked.where(shaped).select("a", "b", "idx", F.expr("try_parse_json(arguments)").alias("v"), F.col("parameters").alias("schema"))
+    while True:
+        nodes = scratch.save(nodes.withColumn("s", F.from_json("schema", SCHEMA)))
+        if not nodes.limit(1).count():
+            break
+        verdicts = verdicts.unionByName(nodes.select("a", "b", "idx", F.coalesce(_wrong("v"), F.lit(False)).alias("wrong"), F.coalesce(F.expr(more), F.lit(False)).alias("open")))
+        inside = nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        schema = F.expr("if(key IS NULL, s.items, coalesce(s.properties[key], if(s.additionalProperties LIKE '{%', s.additionalProperties, NULL)))")
+        nodes = inside.select("a", "b", "idx", F.col("value").alias("v"), schema.alias("schema")).where("schema IS NOT NULL")
+    found = verdicts.groupBy("a", "b", "idx").agg(F.max("wrong").alias("wrong"), F.max("open").alias("open"))
+    valid = F.when(F.col("wrong"), F.lit(False)).when(~F.col("open"), F.lit(True))
+    return calls.join(found.select("a", "b", "idx", valid.alias("valid")), ["a", "b", "idx"], "left")
 
 
 def _levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv, id, at, level): the effective turn of each call and how many calls it stands behind there.
 
-    A call is placed once all calls that it depends on are; each round places what has
-    become ready, so there are as many rounds as the longest chain has calls. Calls in or
-    behind a cycle keep their own turn; ids that no call of the conversation has are ignored.
+    Where all calls of a conversation depend on earlier turns only, each has its own turn.
+    Conversations with a call that depends on its own or a later turn are ordered round by
+    round, each placing what has become ready: as many rounds as the longest chain among
+    these. Calls in or behind a cycle keep their own turn; ids that no call of the
+    conversation has are ignored.
     """
     first = scratch.save(calls.groupBy("conv", "id").agg(F.min(F.struct("turn", "idx", "depends_on")).alias("f")).select("conv", "id", "f.turn", "f.depends_on"))
-    there = first.select("conv", F.col("id").alias("dep"))
-    edges = scratch.save(first.select("conv", "id", "turn", F.explode("depends_on").alias("dep")).where("id <> dep").distinct().join(there, ["conv", "dep"], "left_semi"))
+    there = first.select("conv", F.col("id").alias("dep"), F.col("turn").alias("dep_turn"))
+    every = scratch.save(first.select("conv", "id", "turn", F.explode("depends_on").alias("dep")).where("id <> dep").distinct().join(there, ["conv", "dep"]))
+    late = every.where("dep_turn >= turn").select("conv").distinct()
+    edges = scratch.save(every.join(late, "conv", "left_semi").drop("dep_turn"))
     settled = scratch.save(first.join(edges, ["conv", "id"], "left_anti").select("conv", "id", F.col("turn").alias("at"), F.lit(0).alias("level")))
     while True:
         before = settled.select("conv", F.col("id").alias("dep"), "at", (F.col("level") + 1).alias("level"))
@@ -94,14 +127,12 @@ def format_messages(conversations: DataFrame) -> DataFrame:
         F.col("conv").alias("conv_id"), "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_level"), F.lit("plain").alias("status"),
         F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_invalid"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
-    if not base.where("kind <> 'plain'").limit(1).count():
-        return plain
 
     a, b = hash128("conv", "turn", "text")
     messages = base.where("kind = 'call'").select("conv", "turn", "role", a.alias("a"), b.alias("b"), F.col("calls.content").alias("content"), "calls.tool_calls")
     calls = messages.dropDuplicates(["a", "b"]).select("conv", "turn", "a", "b", F.posexplode("tool_calls").alias("idx", "c")).select("conv", "turn", "a", "b", "idx", "c.*")
     tools = base.where("role = 'system'").where(looks).select("conv", F.explode(F.from_json("text", TOOLS)["tools"]).alias("t")).select("conv", "t.*").where("parameters is not null")
-    calls = scratch.save(_checked(scratch.save(calls), tools))
+    calls = scratch.save(_checked(scratch.save(calls), tools, scratch))
     levels = scratch.save(_levels(calls.where("id is not null"), scratch))
 
     canonical = F.coalesce(F.expr("to_json(try_parse_json(arguments))"), F.col("arguments"))

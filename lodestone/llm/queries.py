@@ -52,7 +52,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_messages(read(spark, sf_dir, "conversations"))
 
 
-#: The messages of these tables carry no tools, so all are plain; the forms with tools are tested on fixtures.
+#: The messages of these tables carry no tools, so all are plain; ``op5_chat_links`` gives them tools.
 OP5_SQL = """
 SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS order_level, 'plain' AS status, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
   '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR END
@@ -62,6 +62,50 @@ FROM conversations
 """
 
 
+#: Of the derived tools: arguments of a message.
+NOTE = '{"tools":[{"name":"note","parameters":{"type":"object","properties":{"about":{"type":"object","properties":{"length":{"type":"integer","maximum":150}},"required":["length"]},"turn":{"type":["integer","null"]}},"required":["about"],"additionalProperties":false}}]}'
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """The conversations with tools, by a rule: assistants' messages call a tool by the name of their turn, users' messages answer the call of the turn before, if there is one."""
+    told = conversations.select("conv_id", "turn", "role", "text")
+    about = F.struct(F.struct(F.char_length("text").alias("length")).alias("about"), "turn")
+    call = F.struct(F.concat(F.lit("c"), F.col("turn")).alias("id"), F.lit("note").alias("name"), F.to_json(about).alias("arguments"))
+    calls = F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls")))
+    result = F.to_json(F.struct(F.concat(F.lit("c"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    told = told.select(
+        "conv_id", "turn", F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("role") == "assistant", calls).when(F.col("role") == "user", result).otherwise(F.col("text")).alias("text"),
+    )
+    heads = conversations.where("conv_id is not null").select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(NOTE).alias("text"))
+    return told.unionByName(heads)
+
+
+def op5_chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over conversations with derived tools: calls, results and orphans."""
+    return chat.format_messages(with_tools(read(spark, sf_dir, "conversations")))
+
+
+OP5_LINKS_SQL = f"""
+WITH told AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT DISTINCT conv_id, -1, 'head', '{NOTE}' FROM conversations WHERE conv_id IS NOT NULL),
+calls AS (SELECT DISTINCT conv_id, turn FROM told WHERE role = 'assistant'),
+linked AS (
+  SELECT t.*, c.turn AS placed, CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR || ',' END AS content, length(text) AS n
+  FROM told t LEFT JOIN calls c ON t.role = 'user' AND t.conv_id = c.conv_id AND c.turn = t.turn - 1)
+SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' WHEN 'head' THEN 'system' ELSE role END AS role, coalesce(placed, turn) AS order_turn,
+  CASE WHEN placed IS NULL THEN 0 ELSE 1 END::INTEGER AS order_level,
+  CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND placed IS NULL THEN 'orphan' WHEN role = 'user' THEN 'result' ELSE 'plain' END AS status,
+  CASE WHEN role = 'assistant' THEN 1 ELSE 0 END::BIGINT AS n_calls, CASE WHEN role = 'assistant' AND NOT coalesce(n <= 150, false) THEN 1 ELSE 0 END::BIGINT AS n_invalid,
+  CASE WHEN role = 'assistant' THEN '{{' || content || '"role":"assistant","tool_calls":[{{"arguments":"{{\\"about\\":{{' || CASE WHEN n IS NULL THEN '' ELSE '\\"length\\":' || n END || '}},\\"turn\\":' || turn
+         || '}}","id":"c' || turn || '","name":"note","valid":' || CASE WHEN coalesce(n <= 150, false) THEN 'true' ELSE 'false' END || '}}]}}'
+       WHEN role = 'user' THEN '{{' || content || '"role":"tool","tool_call_id":"c' || (turn - 1) || '"}}'
+       ELSE '{{' || content || '"role":"' || CASE role WHEN 'head' THEN 'system' ELSE role END || '"}}' END AS json
+FROM linked
+"""
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -90,6 +134,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
+    "op5_chat_links": op5_chat_links,
     "op6_nearest": op6_nearest,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
@@ -100,4 +145,5 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op5_chat": OP5_SQL,
+    "op5_chat_links": OP5_LINKS_SQL,
 }

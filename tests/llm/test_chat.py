@@ -1,6 +1,9 @@
 import json
 
-from lodestone.llm import chat
+import duckdb
+import pytest
+
+from lodestone.llm import chat, queries
 
 TOOLS = json.dumps({"content": "sys", "tools": [{"name": "w", "parameters": {"type": "object", "properties": {"city": {"type": "string"}, "n": {"type": "integer"}, "x": {"type": "number"}, "u": {"type": "string", "enum": ["c", "f"]}, "l": {"type": "array"}}, "required": ["city"], "additionalProperties": False}}]})
 
@@ -43,6 +46,49 @@ def test_arguments_are_checked(spark):
     assert got[99].n_invalid == 0 and "valid" not in got[99].json
 
 
+def node(schema):
+    return json.dumps({"tools": [{"name": "w", "parameters": {"type": "object", "properties": {"v": schema}}}]})
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"type": ["string", "null"]}, ['"x"', "null"], ["3", "[]"]),
+        ({"type": "integer"}, ["12345678901234567890", "-3", "4.0", "1e3"], ["1.5", '"1"', "true"]),
+        ({"type": "number", "minimum": 2, "maximum": 5.5}, ["2", "5.5"], ["1.99", "6"]),
+        ({"type": "object", "required": ["k"], "properties": {"k": {"type": "array", "items": {"type": "object", "properties": {"d": {"type": "boolean"}}, "required": ["d"]}}}}, ['{"k":[{"d":true},{"d":false}]}', '{"k":[]}'], ["{}", '{"k":[{"d":1}]}', '{"k":[{}]}', '{"k":{}}']),
+        ({"additionalProperties": {"type": "string"}}, ['{"a":"b"}', "{}"], ['{"a":1}']),
+        ({"enum": ["a", None, 3]}, ['"a"', "null", "3"], ['"b"']),
+    ],
+)
+def test_types_lists_bounds_and_nesting(spark, schema, good, bad):
+    rows = [(1, 0, "system", node(schema))] + [(1, i + 1, "assistant", call((f"i{i}", "w", '{"v":' + v + "}", None))) for i, v in enumerate(good + bad)]
+    got = {r.turn: r.n_invalid for r in run(spark, rows)}
+    assert [got[i + 1] for i in range(len(good + bad))] == [0] * len(good) + [1] * len(bad)
+
+
+def test_what_is_not_checked_has_no_verdict(spark):
+    rows = [(1, 0, "system", node({"type": "string", "pattern": "a+"})), (1, 1, "assistant", call(("a", "w", '{"v":"b"}', None))), (1, 2, "assistant", call(("b", "w", '{"v":1}', None)))]
+    got = {r.turn: r.json for r in run(spark, rows)}
+    assert "valid" not in got[1] and '"valid":false' in got[2]
+
+
+def test_long_chains_over_turns_need_no_rounds(spark):
+    rows = [(1, i, "assistant", call((f"c{i}", "w", "{}", [f"c{i - 1}"] if i else None))) for i in range(60)]
+    assert [(r.turn, r.order_turn, r.order_level) for r in run(spark, rows)] == [(i, i, 0) for i in range(60)]
+
+
+def test_derived_links_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    expected = con.execute(queries.OP5_LINKS_SQL).fetchall()
+    out = queries.op5_chat_links(spark, sf)
+    names = [c[0] for c in con.description]
+    got = [tuple(r) for r in out.select(*names).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert {r[names.index("status")] for r in got} == {"plain", "call", "result", "orphan"}
+
+
 def test_json_is_canonical(spark):
     rows = [(1, 0, "system", TOOLS), (1, 1, "assistant", call(("a", "w", '{ "n": 3,\n "city" : "Zürich" }', None), ("b", "w", '{"city":"x"}', None), content='say "hi"\n'))]
     r = run(spark, rows)[1]
