@@ -1,15 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become template words: numbers, units and names turn into typed placeholders, other
-words are lower-cased without punctuation at their ends. Windows of ``WIDTH`` template words
-are hashed; a document's windows are hash-joined with the benchmark's. What the join finds
-is checked for slot consistency: along one alignment of document and item, each value of
-the item must stand for one value of the document throughout, so that a question with new
-numbers or names is found and chance matches of placeholders are not.
-
-Only windows that pass a Bloom filter of the benchmark's windows leave a document's task.
-The filter has a fixed size (1 MB), whatever the benchmark's, and drops nothing that the
-join would find.
+words are lower-cased without punctuation at their ends. Number words in a row are one
+number; a capitalised word at a sentence's start is a name if the text has it as one
+elsewhere. Windows of ``WIDTH`` template words are hashed, those with names a second time
+with the names as plain words, so that copies in lower or upper case are found too. A
+document's windows are hash-joined with the benchmark's, and what the join finds is checked
+for slot consistency: along an alignment of document and item, and along neighbouring
+alignments together, each value of the item must stand for one value of the document.
+
+Two filters keep the join small and lose nothing. Only windows that pass a Bloom filter of
+the benchmark's windows leave a document's task; it has a fixed size (1 MB). And documents
+are sought by an item's rarest windows only: one that holds the share ``coverage`` of an
+item's n windows holds at least one of any n - coverage * n + 1 of them, so a phrase that
+many items share brings no pairs. The other windows are joined for the pairs found.
 """
 
 from __future__ import annotations
@@ -20,16 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .common import small_batches
 
 WIDTH = 5
 COVERAGE = 0.8
-#: A window with fewer literal words counts only if its slot values are the item's own; of an
-#: alignment's windows, half must have one literal word more or the item's own values.
-LITERALS = 2
+#: An alignment needs a window with so many literal words or with the item's own values, and
+#: so many literal words in all or the item's own values throughout.
+ANCHOR, LITERALS = 2, 3
 FILTER_BITS = 1 << 23
 
 #: Words that are units, and number words.
@@ -48,7 +53,7 @@ _TOKEN = re.compile("\n|[^\x20\x09-\x0d]+")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _EDGES = ".,!?;:'\"()[]{}#$%&*|<>«»“”‘’-–—_"
 _NUM, _UNIT, _NAME = 1, 2, 3
-_CAP, _END, _LINE = 1, 2, 4
+_CAP, _END, _LINE, _SPELLED = 1, 2, 4, 8
 
 
 class _Codes(dict):
@@ -64,6 +69,7 @@ class _Codes(dict):
             code, flags = 0, _LINE
         elif _NUMBER.fullmatch(word.strip(".,!?;:'\"()")) or low in NUMBERS:
             code = _NUM
+            flags |= _SPELLED * (low in NUMBERS)
         elif low in UNITS:
             code = _UNIT
         else:
@@ -74,30 +80,64 @@ class _Codes(dict):
         return value
 
 
-def windows(text: str, codes: _Codes) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Window hashes by place, template codes and words of a text."""
-    tokens = _TOKEN.findall(text)
-    raw = np.array([codes[t] for t in tokens], np.uint64)
-    flags, code = raw & np.uint64(15), raw >> np.uint64(4)
-    starts = np.ones(len(raw), bool)  # of a sentence: the first word, or one after an end or a line's end
-    starts[1:] = (flags[:-1] & np.uint64(_END | _LINE)) > 0
-    code[((flags & np.uint64(_CAP)) > 0) & ~starts] = _NAME
-    real = (flags & np.uint64(_LINE)) == 0
-    code = code[real]
-    words = [t for t in tokens if t != "\n"]
-    n = len(code) - WIDTH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), code, words
-    h = np.zeros(n, np.uint64)
-    for j in range(WIDTH):
+def _hashes(code: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` template words."""
+    n = max(0, len(code) - width + 1)
+    h = np.full(n, width, np.uint64)
+    for j in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + code[j : j + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32)), code, words
+    return h ^ (h >> np.uint64(32))
 
 
-def _rows(texts: DataFrame, key: str, passes: np.ndarray | None) -> DataFrame:
-    """(key, pos, n, h, literals, slots): windows of the texts, with a filter only those that pass it."""
+def template(text: str, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(codes with names as placeholders, codes with names as words, sentence starts, sentence ends, words) of a text."""
+    tokens = _TOKEN.findall(text)
+    raw = np.array([codes[t] for t in tokens], np.uint64)
+    flags, plain = raw & np.uint64(15), raw >> np.uint64(4)
+    has = lambda f: (flags & np.uint64(f)) > 0
+    line, end, cap, spelled = has(_LINE), has(_END), has(_CAP), has(_SPELLED)
+    starts = np.ones(len(raw), bool)
+    starts[1:] = (end | line)[:-1]
+    names = cap & ~starts
+    if (cap & starts).any() and names.any():
+        names |= cap & np.isin(plain, plain[names])
+    code = np.where(names, np.uint64(_NAME), plain)
+    ends = end.copy()
+    ends[:-1] |= line[1:]
+    ends[-1:] = True
+    real = ~line
+    words = [t for t in tokens if t != "\n"]
+    joined = np.zeros(len(raw), bool)  # number words after others
+    joined[1:] = (spelled & ~starts)[1:] & spelled[:-1]
+    if joined.any():
+        at = -1
+        kept: list[str] = []
+        for w, follows in zip(words, joined[real].tolist(), strict=True):
+            if follows:
+                kept[at] += " " + w
+            else:
+                kept.append(w)
+                at += 1
+        last = np.flatnonzero(joined)
+        for i in last.tolist():  # a number's end is its last word's
+            j = i - 1
+            while joined[j]:
+                j -= 1
+            ends[j] = ends[i]
+        real &= ~joined
+        words = kept
+    return code[real], plain[real], starts[real], ends[real], words
+
+
+def _rows(texts: DataFrame, key: str, passes: np.ndarray | None, widths: list[int]) -> DataFrame:
+    """(key, pos, n, width, h, lits, slots): windows of the texts, with a filter only those that pass it.
+
+    Without a filter a text of fewer than WIDTH words is one window; with one, windows of
+    ``widths`` that are whole sentences are given too. Bits of ``lits`` tell which words are
+    literal, ``slots`` are the values of the others in lower case.
+    """
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,15 +147,32 @@ def _rows(texts: DataFrame, key: str, passes: np.ndarray | None) -> DataFrame:
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text or k is None:
                     continue
-                h, code, words = windows(text, codes)
-                hit = np.arange(len(h)) if passes is None else np.flatnonzero(_passes(h, passes))
-                slot = code < 8
-                out += ((k, i, len(h), int(h[i].view(np.int64)), int(WIDTH - slot[i : i + WIDTH].sum()), [words[i + j].strip(_EDGES) for j in range(WIDTH) if slot[i + j]]) for i in hit.tolist())
+                code, plain, starts, ends, words = template(text, codes)
+                if not words:
+                    continue
+                short = [len(words)] if passes is None and len(words) < WIDTH else [] if passes is None else widths
+                named = bool((code != plain).any())
+                for width in [WIDTH, *short]:
+                    n = len(words) - width + 1
+                    if n <= 0:
+                        continue
+                    first = _hashes(code, width)
+                    variants = [(first, code, np.ones(n, bool))]
+                    if named:
+                        second = _hashes(plain, width)
+                        variants.append((second, plain, second != first))
+                    for h, form, use in variants:
+                        if width < WIDTH:
+                            use = use & starts[:n] & ends[width - 1 :]
+                        hit = np.flatnonzero(use if passes is None else use & _passes(h, passes))
+                        for i in hit.tolist():
+                            literal = (form[i : i + width] >= 8).tolist()
+                            out.append((k, i, n, width, int(h[i].view(np.int64)), sum(1 << j for j, x in enumerate(literal) if x), [words[i + j].strip(_EDGES).lower() for j, x in enumerate(literal) if not x]))
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "pos", "n", "h", "literals", "slots"])
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "pos", "n", "width", "h", "lits", "slots"])
 
-    return texts.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, pos int, n int, h long, literals int, slots array<string>")
+    return texts.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, "key long, pos int, n int, width int, h long, lits int, slots array<string>")
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,23 +199,52 @@ def bloom(found: DataFrame) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, coverage, reparameterised): documents that hold an item.
 
-    An item is held if consistent alignments match ``coverage`` of its windows or more;
-    ``reparameterised`` tells whether some slot has another value than the item's. Defined
-    results: null or empty texts and null ids match nothing; an item of fewer than WIDTH
-    words takes no part, as chance would match it; rows that share an id count as one text;
-    repeated items each get their rows; empty tables give no rows; other columns are not read.
+    An item is held if neighbouring consistent alignments match ``coverage`` of its windows
+    or more; ``reparameterised`` tells whether some slot has another value than the item's.
+    Defined results: null or empty texts and null ids match nothing; an item of fewer than
+    WIDTH words is one window and is held by a text that has it, with its own values, as
+    whole sentences; an item without literal words is known by its own values only; of
+    items that share an id the text of the least hash counts; rows of documents that share
+    an id count as one text; repeated items each get their rows; empty tables give no rows;
+    other columns are not read.
     """
-    items = _rows(benchmark, "item_id", None).dropDuplicates(["key", "pos"])
-    items = items.select(F.col("key").alias("item_id"), F.col("pos").alias("ipos"), "n", "h", "literals", F.col("slots").alias("islots"))
-    seen = _rows(docs, "doc_id", bloom(items)).select(F.col("key").alias("doc_id"), "pos", "h", "slots")
-    pairs = seen.join(items, "h").where((F.col("literals") >= LITERALS) | (F.col("slots") == F.col("islots")))
-    slots = F.transform(F.arrays_zip("islots", "slots"), lambda z: F.struct(F.lower(z["islots"]).alias("iv"), F.lower(z["slots"]).alias("dv")))
-    # A group is one alignment of one item: it has at most one row for each window of the item and text with the id.
-    strong = F.when((F.col("literals") > LITERALS) | (F.col("slots") == F.col("islots")), F.col("ipos"))
-    aligned = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.max("n").alias("n"), F.collect_set("ipos").alias("found"), F.size(F.collect_set(strong)).alias("strong"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("map"))
-    aligned = aligned.where(2 * F.col("strong") >= F.size("found")).where(F.size("map") == F.size(F.array_distinct(F.transform("map", lambda z: z["iv"]))))
-    held = aligned.withColumn("ipos", F.explode("found")).groupBy("doc_id", "item_id").agg(
-        F.max("n").alias("n_windows"), F.count_distinct("ipos").alias("n_matched"), F.max(F.exists("map", lambda z: z["iv"] != z["dv"])).alias("reparameterised")
+    scratch = Scratch(docs.sparkSession, "leaks")
+    text = F.col("text").cast("string")
+    items = benchmark.select("item_id", text.alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    items = scratch.save(_rows(items, "item_id", None, []).select(F.col("key").alias("item_id"), F.col("pos").alias("ipos"), "n", "width", "h", "lits", F.col("slots").alias("islots")))
+    widths = sorted(r.width for r in items.where(f"width < {WIDTH}").select("width").distinct().collect())
+    seen = scratch.save(_rows(docs, "doc_id", bloom(items), widths).select(F.col("key").alias("doc_id"), "pos", "h", "lits", "width", "slots"))
+
+    # Windows of few literal words or words in all bring documents only by their own values.
+    strong = (F.expr("bit_count(lits)") >= ANCHOR) & (F.col("width") == WIDTH)
+    value = lambda slots: F.when(strong, F.lit(0)).otherwise(F.xxhash64(slots)).alias("value")
+    sharing = items.groupBy("h").agg(F.count_distinct("item_id").alias("sharing"))
+    places = items.join(sharing, "h").groupBy("item_id", "ipos").agg(F.first("n").alias("n"), F.max("sharing").alias("sharing"), F.max(strong).alias("strong"))
+    ranked = places.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("strong"), "sharing", "ipos"))).withColumn("n_strong", F.sum(F.col("strong").cast("int")).over(Window.partitionBy("item_id")))
+    needed = F.col("n") - F.ceil(F.col("n") * F.lit(coverage) - 1e-9) + 1
+    probes = items.join(ranked.where((F.col("r") <= needed) | (F.col("n_strong") < needed)).select("item_id", "ipos"), ["item_id", "ipos"])
+    pairs = seen.select("doc_id", "h", value("slots")).join(probes.select("item_id", "h", value("islots")).distinct(), ["h", "value"]).select("doc_id", "item_id").distinct()
+
+    expected = pairs.join(items, "item_id").withColumn("strong", strong)
+    found = expected.join(seen.select("doc_id", "h", "pos", "slots"), ["doc_id", "h"]).where((F.col("width") == WIDTH) | (F.col("slots") == F.col("islots")))
+    found = found.withColumn("same", F.col("slots") == F.col("islots"))
+    slots = F.transform(F.arrays_zip("islots", "slots"), lambda z: F.struct(z["islots"].alias("iv"), z["slots"].alias("dv")))
+    literal = F.expr("transform(filter(sequence(0, width - 1), j -> shiftright(lits, j) & 1 = 1), j -> ipos + j)")
+    # A group is one alignment of one item: it has at most two rows for each window of the item and text with the id.
+    aligned = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
+        F.max("n").alias("n"), F.collect_set("ipos").alias("found"), F.max(F.col("strong") | F.col("same")).alias("anchored"), F.size(F.array_distinct(F.flatten(F.collect_set(literal)))).alias("literals"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("map")
     )
-    share = F.col("n_matched") / F.col("n_windows")
-    return held.where(share >= coverage).select("doc_id", "item_id", F.col("n_windows").cast("long"), "n_matched", F.round(share, 6).alias("coverage"), "reparameterised")
+    function = "size(map) = size(array_distinct(transform(map, z -> z.iv)))"
+    aligned = aligned.where("anchored").where(function).where((F.col("literals") >= LITERALS) | F.expr("forall(map, z -> z.iv = z.dv)"))
+    # Neighbours, as a word more or less shifts what follows, are taken together as far as they agree, large ones first.
+    order = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(order) > F.col("n"), F.lit(True)).cast("int")
+    near = aligned.withColumn("far", far).withColumn("place", F.sum("far").over(order)).groupBy("doc_id", "item_id", "place").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct((-F.size("found")).alias("size"), "shift", "found", "map"))).alias("all"))
+    agreed = F.expr("""
+        aggregate(all, struct(cast(array() as array<int>) as found, cast(array() as array<struct<iv: string, dv: string>>) as map),
+                  (acc, x) -> if(size(array_union(acc.map, x.map)) = size(array_union(transform(acc.map, z -> z.iv), transform(x.map, z -> z.iv))),
+                                 struct(array_union(acc.found, x.found) as found, array_union(acc.map, x.map) as map), acc))""")
+    held = near.select("doc_id", "item_id", "n", agreed.alias("a")).select("doc_id", "item_id", "n", F.size("a.found").alias("k"), F.exists("a.map", lambda z: z["iv"] != z["dv"]).alias("other"))
+    best = held.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max(F.struct("k", (~F.col("other")).alias("own"))).alias("b"))
+    share = F.col("b.k") / F.col("n_windows")
+    return best.where(share >= coverage - 1e-9).select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("b.k").cast("long").alias("n_matched"), F.round(share, 6).alias("coverage"), (~F.col("b.own")).alias("reparameterised"))

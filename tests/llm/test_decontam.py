@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodestone.llm import decontam
@@ -36,6 +38,83 @@ def test_windows_of_placeholders_alone_need_equal_values(spark):
     assert set(run(spark, [(1, "1 2 3 4 5 6 7 8"), (2, "9 8 7 6 5 4 3 2")], [(1, "1 2 3 4 5 6 7 8")])) == {(1, 1)}
 
 
+def test_names_at_sentence_starts_and_copies_in_other_cases(spark):
+    item = "Tom has 3 apples in a basket. Tom buys 4 more apples at the market. How many apples does Tom have now"
+    docs = [(1, item.replace("Tom", "Ann").replace("3", "5").replace("4", "9")), (2, ITEM.lower()), (3, ITEM.upper()), (4, item.lower()), (5, item.upper())]
+    assert set(run(spark, docs, [(1, item), (2, ITEM)])) == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 1)}
+
+
+def test_questions_dense_with_slots(spark):
+    item = "If 3 kg cost 6 dollars what do 5 kg cost"
+    docs = [(1, "If 4 kg cost 8 dollars what do 7 kg cost"), (2, "If 4 kg cost 8 dollars what do 4 kg cost"), (3, "rows 3 kg 6 dollars 5 kg 3 kg 6 dollars 5 kg 1 2 3 4 5 6 7")]
+    got = run(spark, docs, [(1, item)])
+    assert set(got) == {(1, 1), (2, 1)} and got[1, 1].reparameterised
+
+
+def test_numbers_in_words_of_any_length(spark):
+    item = "A farmer sells twenty five sheep at the spring market and keeps three hundred and six others on the hill"
+    docs = [(1, item.replace("twenty five", "forty")), (2, item.replace("twenty five", "two hundred")), (3, item.replace("twenty five", "25"))]
+    got = run(spark, docs, [(1, item)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)} and all(r.coverage == 1.0 for r in got.values())
+
+
+def test_alignments_that_contradict_each_other_do_not_add_up(spark):
+    item = "There are 5 boxes in the hall and there we see other boxes; later 5 lids lie upon the floor near a door that stands open to the garden"
+    half = item.split("; ")
+    one = "There are 7 boxes in the hall and there we see other boxes"
+    two = "later 9 lids lie upon the floor near a door that stands open to the garden"
+    agree = "later 7 lids lie upon the floor near a door that stands open to the garden"
+    docs = [(1, f"{one} quite {two}"), (2, f"{one} quite {agree}"), (3, f"{half[0]} quite {half[1]}"), (4, agree + " word " * 300 + one)]
+    assert set(run(spark, docs, [(1, item)])) == {(2, 1), (3, 1)}
+
+
+def test_short_items_are_whole_sentences(spark):
+    docs = [(1, "We read. Name 3 rivers. Then go"), (2, "Name 4 rivers."), (3, "please Name 3 rivers. Now"), (4, "x\nname 3 rivers\ny"), (5, "Name 3 rivers and lakes"), (6, "too")]
+    assert set(run(spark, docs, [(1, "Name 3 rivers."), (2, ""), (3, "too")])) == {(1, 1), (4, 1), (6, 3)}
+
+
+def brute(doc, item, coverage):
+    """Coverage by single alignments over plain template words, all places tried."""
+    codes = decontam._Codes()
+    c, p, *_, dw = decontam.template(doc, codes)
+    ic, ip, *_, iw = decontam.template(item, codes)
+    n = len(iw) - 4
+    best = 0
+    for shift in range(-len(iw), len(dw)):
+        hit, pairs, lits, anchor = set(), set(), set(), False
+        for i in range(n):
+            j = i + shift
+            if 0 <= j <= len(dw) - 5:
+                for x, y in ((ic, c), (ip, p)):
+                    if (x[i : i + 5] == y[j : j + 5]).all():
+                        slot = [k for k in range(5) if x[i + k] < 8]
+                        values = {(iw[i + k].strip(decontam._EDGES).lower(), dw[j + k].strip(decontam._EDGES).lower()) for k in slot}
+                        hit.add(i)
+                        pairs |= values
+                        lits |= {i + k for k in range(5) if k not in slot}
+                        anchor |= len(slot) <= 3 or all(a == b for a, b in values)
+        if hit and anchor and len(pairs) == len({a for a, _ in pairs}) and (len(lits) >= 3 or all(a == b for a, b in pairs)):
+            best = max(best, len(hit))
+    return best >= coverage * n
+
+
+def test_single_alignments_against_brute_force(spark):
+    rng = random.Random(2)
+    some = ["the", "cat", "sat", "Bob", "Eve", "3", "7", "km", "kg", "red", "on", "a"]
+    items = [(i, " ".join(rng.choices(some, k=rng.randint(5, 14)))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        words = rng.choice(items)[1].split()
+        for at in range(len(words)):
+            if rng.random() < 0.08:
+                words[at] = rng.choice(some)
+        swap = dict(zip(["3", "7"], rng.sample(["3", "7", "9"], 2), strict=True)) if rng.random() < 0.5 else {}
+        docs.append((d, " ".join(rng.choices(some, k=rng.randint(0, 6)) + [swap.get(w, w) for w in words] + rng.choices(some, k=rng.randint(0, 6)))))
+    got = set(run(spark, docs, items))
+    wanted = {(d, i) for d, t in docs for i, x in items if brute(t, x, 0.8)}
+    assert len(wanted) > 60 and wanted <= got and len(got - wanted) <= 0.1 * len(wanted)  # more: neighbouring alignments together
+
+
 @pytest.mark.parametrize("docs", [[], [(1, ITEM)]])
 def test_empty_tables(spark, docs):
     assert run(spark, docs, []) == {}
