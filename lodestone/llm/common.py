@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,25 +20,26 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols)]
 
 
-#: Rows of texts in one Arrow batch to a Python worker.
-BATCH_ROWS = 256
+#: Rows and bytes of texts in one Arrow batch to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, since one text may be very long; a setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None or spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of few rows and bytes, since one text may be very long; settings of the user's stay."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1), BATCH_BYTES)):
+        if spark.conf.get(key, None) in (None, default):
+            spark.conf.set(key, str(value))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns but doc_id and text renamed, so that no name of an operator's clashes; ``docs.columns`` in the same order name them again."""
+    return docs.toDF(*(c if c in ("doc_id", "text") else f"other{i}" for i, c in enumerate(docs.columns)))
 
 
-def words_of(text: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased."""
-    return _WORD.findall(text.translate(_LOWER))
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_WORD = re.compile("[^\x20\x09-\x0d]+")
-_LOWER = {i: i + 32 for i in range(65, 91)}
+def words_of(text: str) -> list[bytes]:
+    """UTF-8 of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, which is what bytes take for white space and letters."""
+    return text.encode().lower().split()

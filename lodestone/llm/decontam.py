@@ -19,7 +19,7 @@ many items share brings no pairs. The other windows are joined for the pairs fou
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,23 +49,27 @@ NUMBERS = set("""
     twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
 """.split())
 
-_TOKEN = re.compile("\n|[^\x20\x09-\x0d]+")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _EDGES = ".,!?;:'\"()[]{}#$%&*|<>«»“”‘’-–—_"
 _NUM, _UNIT, _NAME = 1, 2, 3
 _CAP, _END, _LINE, _SPELLED = 1, 2, 4, 8
 
 
+#: Stands for a line's end among the words.
+_BREAK = b"\0"
+
+
 class _Codes(dict):
-    """Word to code: 60 bits of its template word's hash, then flags. Emptied when it grows too large."""
+    """UTF-8 of a word to its code: 60 bits of its template word's hash, then flags. Emptied when it grows too large."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, raw: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
+        word = raw.decode()
         bare = word.strip(_EDGES)
         low = bare.lower()
         flags = _END if word[-1] in ".!?:" or word.rstrip("\"')»”")[-1:] in (".", "!", "?") else 0
-        if word == "\n":
+        if raw == _BREAK:
             code, flags = 0, _LINE
         elif _NUMBER.fullmatch(word.strip(".,!?;:'\"()")) or low in NUMBERS:
             code = _NUM
@@ -76,7 +80,7 @@ class _Codes(dict):
             code = max(8, xxhash.xxh64_intdigest(low or word) >> 4)
             if bare[:1].isupper() and not bare.isupper():
                 flags |= _CAP
-        self[word] = value = code << 4 | flags
+        self[raw] = value = code << 4 | flags
         return value
 
 
@@ -91,44 +95,43 @@ def _hashes(code: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def template(text: str, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(codes with names as placeholders, codes with names as words, sentence starts, sentence ends, words) of a text."""
-    tokens = _TOKEN.findall(text)
-    raw = np.array([codes[t] for t in tokens], np.uint64)
-    flags, plain = raw & np.uint64(15), raw >> np.uint64(4)
-    has = lambda f: (flags & np.uint64(f)) > 0
-    line, end, cap, spelled = has(_LINE), has(_END), has(_CAP), has(_SPELLED)
+def template(text: str, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[int], str]]:
+    """(codes with names as placeholders, codes with names as words, sentence starts, sentence ends, value of a word) of a text."""
+    tokens = text.replace("\n", " \0 ").encode().split()
+    raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    flags, plain = (raw & np.uint64(15)).astype(np.uint8), raw >> np.uint64(4)
+    line, cap = (flags & _LINE) > 0, (flags & _CAP) > 0
+    ends = (flags & (_END | _LINE)) > 0
     starts = np.ones(len(raw), bool)
-    starts[1:] = (end | line)[:-1]
+    starts[1:] = ends[:-1]
     names = cap & ~starts
-    if (cap & starts).any() and names.any():
-        names |= cap & np.isin(plain, plain[names])
-    code = np.where(names, np.uint64(_NAME), plain)
-    ends = end.copy()
+    if names.any():
+        first = np.flatnonzero(cap & starts)
+        if len(first):
+            names[first[np.isin(plain[first], np.unique(plain[names]))]] = True
+        code = np.where(names, np.uint64(_NAME), plain)
+    else:
+        code = plain
     ends[:-1] |= line[1:]
     ends[-1:] = True
-    real = ~line
-    words = [t for t in tokens if t != "\n"]
+    keep = ~line
+    spelled = (flags & _SPELLED) > 0
     joined = np.zeros(len(raw), bool)  # number words after others
     joined[1:] = (spelled & ~starts)[1:] & spelled[:-1]
     if joined.any():
-        at = -1
-        kept: list[str] = []
-        for w, follows in zip(words, joined[real].tolist(), strict=True):
-            if follows:
-                kept[at] += " " + w
-            else:
-                kept.append(w)
-                at += 1
-        last = np.flatnonzero(joined)
-        for i in last.tolist():  # a number's end is its last word's
-            j = i - 1
-            while joined[j]:
-                j -= 1
-            ends[j] = ends[i]
-        real &= ~joined
-        words = kept
-    return code[real], plain[real], starts[real], ends[real], words
+        head = np.maximum.accumulate(np.where(joined, 0, np.arange(len(raw))))
+        np.logical_or.at(ends, head[joined], ends[joined])  # a number's end is its last word's
+        keep &= ~joined
+    at = np.flatnonzero(keep)
+
+    def value(i: int) -> str:
+        j = int(at[i])
+        k = j + 1
+        while k < len(joined) and joined[k]:
+            k += 1
+        return b" ".join(tokens[j:k]).decode().strip(_EDGES).lower()
+
+    return code[at], plain[at], starts[at], ends[at], value
 
 
 def _rows(texts: DataFrame, key: str, passes: np.ndarray | None, widths: list[int]) -> DataFrame:
@@ -147,13 +150,13 @@ def _rows(texts: DataFrame, key: str, passes: np.ndarray | None, widths: list[in
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text or k is None:
                     continue
-                code, plain, starts, ends, words = template(text, codes)
-                if not words:
+                code, plain, starts, ends, value = template(text, codes)
+                if not len(code):
                     continue
-                short = [len(words)] if passes is None and len(words) < WIDTH else [] if passes is None else widths
-                named = bool((code != plain).any())
+                short = [len(code)] if passes is None and len(code) < WIDTH else [] if passes is None else widths
+                named = code is not plain and bool((code == _NAME).any())
                 for width in [WIDTH, *short]:
-                    n = len(words) - width + 1
+                    n = len(code) - width + 1
                     if n <= 0:
                         continue
                     first = _hashes(code, width)
@@ -167,7 +170,7 @@ def _rows(texts: DataFrame, key: str, passes: np.ndarray | None, widths: list[in
                         hit = np.flatnonzero(use if passes is None else use & _passes(h, passes))
                         for i in hit.tolist():
                             literal = (form[i : i + width] >= 8).tolist()
-                            out.append((k, i, n, width, int(h[i].view(np.int64)), sum(1 << j for j, x in enumerate(literal) if x), [words[i + j].strip(_EDGES).lower() for j, x in enumerate(literal) if not x]))
+                            out.append((k, i, n, width, int(h[i].view(np.int64)), sum(1 << j for j, x in enumerate(literal) if x), [value(i + j) for j, x in enumerate(literal) if not x]))
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "pos", "n", "width", "h", "lits", "slots"])

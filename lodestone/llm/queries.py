@@ -52,7 +52,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_messages(read(spark, sf_dir, "conversations"))
 
 
-#: The messages of these tables carry no tools, so all are plain; ``op5_chat_links`` gives them tools.
+#: The messages of these tables carry no tools, so all are plain; ``chat_links`` gives them tools.
 OP5_SQL = """
 SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS order_level, 'plain' AS status, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
   '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR END
@@ -81,12 +81,12 @@ def with_tools(conversations: DataFrame) -> DataFrame:
     return told.unionByName(heads)
 
 
-def op5_chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator over conversations with derived tools: calls, results and orphans."""
     return chat.format_messages(with_tools(read(spark, sf_dir, "conversations")))
 
 
-OP5_LINKS_SQL = f"""
+CHAT_LINKS_SQL = f"""
 WITH told AS (
   SELECT conv_id, turn, role, text FROM conversations
   UNION ALL SELECT DISTINCT conv_id, -1, 'head', '{NOTE}' FROM conversations WHERE conv_id IS NOT NULL),
@@ -134,7 +134,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
-    "op5_chat_links": op5_chat_links,
+    "chat_links": chat_links,
     "op6_nearest": op6_nearest,
     "op7_decontaminate": op7_decontaminate,
     "op8_secret_scan": op8_secret_scan,
@@ -145,5 +145,5 @@ QUERIES = {
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op5_chat": OP5_SQL,
-    "op5_chat_links": OP5_LINKS_SQL,
+    "chat_links": CHAT_LINKS_SQL,
 }

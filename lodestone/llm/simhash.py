@@ -7,8 +7,10 @@ most t bits of one of them. Thresholds are unequal, chosen by dynamic programmin
 candidates that each choice would give, estimated from the partition's key counts over all
 fingerprints.
 
-Probing puts a fingerprint in the cell of its own key and, for t of 2 or more, in the cells
-within t/2 bits of it, so that pairs t bits apart meet. A cell's bits are ``mask``. A cell
+Probing puts a fingerprint in the cells within r bits of its own key in each partition, so
+that pairs up to t = 2 r bits apart meet half way: thresholds are 0, 2, 4 or none. (With an
+odd threshold one side would still visit all cells within r bits; the even one above it
+costs the same rows and reaches a bit further.) A cell's bits are ``mask``. A cell
 of more than ``cell_size`` fingerprints is not paired: its other bits are partitioned again in
 tau + 1 parts, and so on until cells are small (as a cell's free bits run out). Small cells are verified by popcount inside their task, which gives out a
 minimum spanning forest of the links, no more edges than the cell has members: enough for
@@ -59,7 +61,7 @@ def fingerprint(text: str | None, width: int, seeds: tuple[int, ...] = (SEED,),
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, block):
         part = words[at : min(n, at + block) + width - 1]
-        shingles = list(map(" ".join, zip(*(part[i:] for i in range(width)), strict=False))) if len(words) >= width else [" ".join(words)]
+        shingles = list(map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))) if len(words) >= width else [b" ".join(words)]
         for row, seed in zip(counts, seeds, strict=True):
             hashes = np.array([digest(s, seed) for s in shingles], ">u8")
             row += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -75,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int, seeds: tuple[int, ...] = (SEED,),
         for b in batches:
             texts = b.column(1).to_pylist()
             fps = np.array([fingerprint(t, width, seeds) for t in texts], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            keys = [pa.array([xxhash.xxh3_128_digest(" ".join(words_of(t or ""))) for t in texts], pa.binary())] if keyed else []
+            keys = [pa.array([xxhash.xxh3_128_digest(b" ".join(words_of(t or ""))) for t in texts], pa.binary())] if keyed else []
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(seeds))), *keys], [*names, "key"] if keyed else names)
 
     schema = ", ".join(f"{c} long" for c in names) + ", key binary" * keyed
@@ -310,7 +312,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             out = []
             for text in b.column(1).to_pylist():
                 words = words_of(text or "")
-                shingles = map(" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [" ".join(words)] * bool(words)
+                shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)] * bool(words)
                 out.append(np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "grams"])
 

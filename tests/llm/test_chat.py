@@ -81,8 +81,8 @@ def test_long_chains_over_turns_need_no_rounds(spark):
 def test_derived_links_against_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
-    expected = con.execute(queries.OP5_LINKS_SQL).fetchall()
-    out = queries.op5_chat_links(spark, sf)
+    expected = con.execute(queries.CHAT_LINKS_SQL).fetchall()
+    out = queries.chat_links(spark, sf)
     names = [c[0] for c in con.description]
     got = [tuple(r) for r in out.select(*names).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)

@@ -76,19 +76,19 @@ def test_short_items_are_whole_sentences(spark):
 def brute(doc, item, coverage):
     """Coverage by single alignments over plain template words, all places tried."""
     codes = decontam._Codes()
-    c, p, *_, dw = decontam.template(doc, codes)
-    ic, ip, *_, iw = decontam.template(item, codes)
-    n = len(iw) - 4
+    c, p, *_, dv = decontam.template(doc, codes)
+    ic, ip, *_, iv = decontam.template(item, codes)
+    n = len(ic) - 4
     best = 0
-    for shift in range(-len(iw), len(dw)):
+    for shift in range(-len(ic), len(c)):
         hit, pairs, lits, anchor = set(), set(), set(), False
         for i in range(n):
             j = i + shift
-            if 0 <= j <= len(dw) - 5:
+            if 0 <= j <= len(c) - 5:
                 for x, y in ((ic, c), (ip, p)):
                     if (x[i : i + 5] == y[j : j + 5]).all():
                         slot = [k for k in range(5) if x[i + k] < 8]
-                        values = {(iw[i + k].strip(decontam._EDGES).lower(), dw[j + k].strip(decontam._EDGES).lower()) for k in slot}
+                        values = {(iv(i + k), dv(j + k)) for k in slot}
                         hit.add(i)
                         pairs |= values
                         lits |= {i + k for k in range(5) if k not in slot}
