@@ -71,3 +71,31 @@ def timed(action: Callable[[], Any]) -> tuple[Any, float]:
 def collect_against_take(df: DataFrame, n: int = 10) -> dict[str, float]:
     """Seconds to collect all rows and cut them to ``n`` (m1) and to take ``n`` rows (m2)."""
     return {"m1": timed(lambda: df.collect()[:n])[1], "m2": timed(lambda: df.take(n))[1]}
+
+
+def exploration_report(reviews: DataFrame, year: int) -> dict[str, Any]:
+    """The exploration's answers: counts, and the ten most frequent users and businesses as [key, n]."""
+    rows = lambda df: [list(r) for r in df.collect()]  # noqa: E731  (ten rows)
+    return {
+        "n_review": count_rows(reviews, "n").first()[0], f"n_review_{year}": count_in_year(reviews, year, "n").first()[0],
+        "n_user": count_distinct(reviews, "user", "n").first()[0], "top10_user": rows(top(reviews, "user")),
+        "n_business": count_distinct(reviews, "business", "n").first()[0], "top10_business": rows(top(reviews, "business")),
+    }
+
+
+def all_partitions(df: DataFrame) -> list[int]:
+    """Rows of each of the frame's partitions, empty ones too, in their order."""
+    n = df.rdd.getNumPartitions()
+    found = {r.partition: r.n_items for r in items_per_partition(df).collect()}  # a row for each partition
+    return [found.get(i, 0) for i in range(n)]
+
+
+def partition_report(df: DataFrame, key: str, n: int, action: Callable[[DataFrame], Any]) -> dict[str, dict[str, Any]]:
+    """n_partition, n_items and the seconds of ``action``, for the frame's own partitions and for ``n`` by the key's hash."""
+    return {name: {"n_partition": len(items := all_partitions(x)), "n_items": items, "exe_time": timed(lambda x=x: action(x))[1]} for name, x in (("default", df), ("customized", repartitioned(df, n, key)))}
+
+
+def timing_report(df: DataFrame, n: int = 10) -> dict[str, Any]:
+    """Seconds to collect all rows (m1) against taking ``n`` (m2), and why they differ."""
+    took = collect_against_take(df, n)
+    return took | {"explanation": f"m1 moves every row to the driver and cuts the list there; m2 stops once {n} rows are found."}

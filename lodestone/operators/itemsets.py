@@ -93,7 +93,7 @@ def son(rows: DataFrame, support: int | float, chunks: int, scratch: Scratch, ma
 
 def fpgrowth(rows: DataFrame, support: int, max_size: int | None = None) -> DataFrame:
     """(items, n) by distributed FP-growth, with an absolute support."""
-    arrays = basket_arrays(rows).cache()
+    arrays = Scratch(rows.sparkSession, "fpgrowth").save(basket_arrays(rows))
     n = arrays.count()
     if not n:
         return arrays.select("items", F.lit(0).cast("long").alias("n"))

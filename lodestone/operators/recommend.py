@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 NEIGHBOURS = 14
 CO_RATED = 14
+#: Fixed value: of the users who rated both of two items so many count, the first by id.
+CO_RATERS = 4000
 
 
 def averages(ratings: DataFrame, key: str) -> DataFrame:
@@ -49,10 +51,22 @@ def user_based(train: DataFrame, test: DataFrame, neighbours: int = NEIGHBOURS,
     return out.select("user", "item", F.when(F.col("den") > 0, F.col("mean") + F.try_divide("num", "den")).otherwise(0.0).alias("prediction"))
 
 
-def item_cosines(train: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, sim): the raw cosine of the ratings of items ``a`` and ``b`` by the users who rated both."""
+def item_cosines(train: DataFrame, pairs: DataFrame, co_raters: int | None = CO_RATERS) -> DataFrame:
+    """(a, b, sim): the raw cosine of the ratings of items ``a`` and ``b`` by the first ``co_raters`` users who rated both.
+
+    Only pairs of items that both have more raters than that are ranked by user.
+    """
     rows = lambda x: train.select(F.col("item").alias(x), F.col("user").alias("v"), F.col("rating").alias(f"r_{x}"))
-    both = pairs.select("a", "b").distinct().join(rows("a"), "a").join(rows("b"), ["b", "v"])
+    meet = lambda p: p.join(rows("a"), "a").join(rows("b"), ["b", "v"])
+    asked = pairs.select("a", "b").distinct()
+    if co_raters is None:
+        both = meet(asked)
+    else:
+        often = train.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > co_raters)
+        marked = asked.join(often.select(F.col("item").alias("a"), F.lit(True).alias("x")), "a", "left").join(often.select(F.col("item").alias("b"), F.lit(True).alias("y")), "b", "left")
+        many = F.coalesce(F.col("x") & F.col("y"), F.lit(False))
+        first = meet(marked.where(many).select("a", "b")).withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("v"))).where(F.col("r") <= co_raters).drop("r")
+        both = meet(marked.where(~many).select("a", "b")).unionByName(first)
     num, den = F.sum(F.col("r_a") * F.col("r_b")), F.sqrt(F.sum(F.col("r_a") * F.col("r_a")) * F.sum(F.col("r_b") * F.col("r_b")))
     return both.groupBy("a", "b").agg(F.try_divide(num, den).alias("sim")).where("sim is not null")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import sketch
 from ..operators.similarity import COEFFICIENTS
-from .queries import BASKET_SIZE, CHUNKS, PARTITIONS, SHARED, SIMILAR, SUPPORT, TRIPLE_SUPPORT, YEAR
+from .queries import BASKET_SIZE, CHUNKS, FEW, PARTITIONS, SHARED, SIMILAR, SUPPORT, TRIPLE_SUPPORT, YEAR
 
 REVIEWS = """reviews AS (SELECT o_custkey AS "user", l_partkey AS business, (1 + l_quantity::BIGINT % 5)::DOUBLE AS stars, o_orderdate AS date
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -14,9 +14,17 @@ BASKETS = "baskets AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FRO
 SINGLES = "SELECT item AS items, count(*) AS n FROM baskets GROUP BY item"
 PAIRS = "SELECT a.item || ',' || b.item AS items, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item GROUP BY 1"
 TRIPLES = "SELECT a.item || ',' || b.item || ',' || c.item AS items, count(*) AS n FROM baskets a JOIN baskets b ON a.basket = b.basket AND a.item < b.item JOIN baskets c ON c.basket = a.basket AND b.item < c.item GROUP BY 1"
+def _sets(size: int, rows: str = "baskets", more: str = "") -> str:
+    """Itemsets of ``size`` items and their counts."""
+    names = [f"t{i}" for i in range(size)]
+    joins = "".join(f" JOIN {rows} {b} ON {a}.basket = {b}.basket AND {a}.item < {b}.item" for a, b in zip(names, names[1:], strict=False))
+    return f"SELECT {more}{" || ',' || ".join(f'{n}.item' for n in names)} AS items, count(*) AS n FROM {rows} t0{joins} GROUP BY ALL"
+
+
+#: At these supports no set of four is frequent, in no chunk either, and so none larger; sets of four and five are counted to show it.
+ALL_SETS = " UNION ALL ".join(_sets(k) for k in range(1, 6))
 SON = f"""{BASKETS}, chunks AS (SELECT basket % {CHUNKS} AS chunk, item, basket FROM baskets),
-  local AS (SELECT chunk, item AS items, count(*) AS n FROM chunks GROUP BY ALL
-    UNION ALL SELECT a.chunk, a.item || ',' || b.item, count(*) FROM chunks a JOIN chunks b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL),
+  local AS ({" UNION ALL ".join(_sets(k, "chunks", "t0.chunk, ") for k in range(1, 6))}),
   candidates AS (SELECT DISTINCT items FROM local WHERE n >= {SUPPORT} * (SELECT n FROM n) / {CHUNKS})"""
 WORDS = """sets AS (SELECT DISTINCT doc_id AS item, unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS token FROM documents),
   words AS (SELECT * FROM sets WHERE token <> ''),
@@ -112,6 +120,12 @@ SELECT window_start, list_sort([{means}])[5]::BIGINT AS estimate FROM per"""
 DISTINCT = f"WITH {WINDOWS} SELECT window_start, count(DISTINCT user_id) AS n_distinct FROM win GROUP BY window_start"
 RESERVOIR = f"{EV}, res AS (SELECT event_id, tag, md5(event_id::VARCHAR || '{sketch.SEED}') AS priority FROM ev WHERE tag IS NOT NULL ORDER BY priority, event_id LIMIT {sketch.RESERVOIR})"
 
+TWEETS = f"""tags AS (
+    SELECT event_id::VARCHAR || '-0' AS event_id, (props::JSON->>'$.k') AS tag FROM events WHERE (props::JSON->>'$.k') IS NOT NULL
+    UNION ALL SELECT event_id::VARCHAR || '-1', event_type FROM events WHERE event_type IS NOT NULL),
+  res AS (SELECT * FROM tags ORDER BY md5(event_id || '{sketch.SEED}'), event_id LIMIT {sketch.RESERVOIR}),
+  c AS (SELECT tag, count(*) AS n FROM res GROUP BY tag), r AS (SELECT dense_rank() OVER (ORDER BY n DESC)::INTEGER AS tier, tag, n FROM c)"""
+
 ORACLES = {
     "review_count": f"WITH {REVIEWS} SELECT count(*) AS n_review FROM reviews",
     "reviews_in_year": f"WITH {REVIEWS} SELECT count(*) AS n_review FROM reviews WHERE year(date) = {YEAR}",
@@ -129,8 +143,9 @@ ORACLES = {
     "frequent_pairs": f"WITH {BASKETS} SELECT items, n FROM ({PAIRS}) WHERE n >= {SUPPORT} * (SELECT n FROM n)",
     "frequent_triples": f"WITH {BASKETS} SELECT items, n FROM ({TRIPLES}) WHERE n >= {TRIPLE_SUPPORT} * (SELECT n FROM n)",
     "son_candidates": f"WITH {SON} SELECT items FROM candidates",
-    "son_frequent": f"WITH {SON} SELECT items, n FROM ({SINGLES} UNION ALL {PAIRS}) WHERE n >= {SUPPORT} * (SELECT n FROM n) AND items IN (SELECT items FROM candidates)",
-    "fpgrowth_itemsets": f"WITH {BASKETS} SELECT items, n FROM ({SINGLES} UNION ALL {PAIRS} UNION ALL {TRIPLES}) WHERE n >= {TRIPLE_SUPPORT} * (SELECT n FROM n)",
+    "son_frequent": f"WITH {SON} SELECT items, n FROM ({ALL_SETS}) WHERE n >= {SUPPORT} * (SELECT n FROM n) AND items IN (SELECT items FROM candidates)",
+    "fpgrowth_itemsets": f"WITH {BASKETS} SELECT items, n FROM ({ALL_SETS}) WHERE n >= {TRIPLE_SUPPORT} * (SELECT n FROM n)",
+    "frequent_itemsets": f"WITH {BASKETS} SELECT items, n FROM ({ALL_SETS}) WHERE n >= {TRIPLE_SUPPORT} * (SELECT n FROM n)",
     "minhash_signatures": f"WITH {SIGS} SELECT * FROM sigs",
     "lsh_bands": f"WITH {BANDS} SELECT * FROM bands",
     "lsh_candidates": f"WITH {CANDIDATES} SELECT * FROM candidates",
@@ -140,6 +155,9 @@ ORACLES = {
     "lsh_precision_recall": f"WITH {LSH}, {EXACT}, hit AS (SELECT count(*) AS n FROM lsh JOIN exact USING (a, b)) SELECT round(coalesce((SELECT n FROM hit) / nullif((SELECT count(*) FROM lsh), 0), 0), 6) AS precision, round(coalesce((SELECT n FROM hit) / nullif((SELECT count(*) FROM exact), 0), 0), 6) AS recall",
     "user_avg_ratings": f'WITH {RATINGS} SELECT "user", round(avg(rating), 6) AS avg_rating, count(*) AS n FROM train GROUP BY 1',
     "item_avg_ratings": f"WITH {RATINGS} SELECT item, round(avg(rating), 6) AS avg_rating, count(*) AS n FROM train GROUP BY 1",
+    "item_cosine_first": f"""WITH {COSINES}, ranked AS (SELECT a, b, x.rating AS ra, y.rating AS rb, row_number() OVER (PARTITION BY a, b ORDER BY x."user") AS r
+    FROM (SELECT DISTINCT a, b FROM ip) JOIN train x ON x.item = a JOIN train y ON y.item = b AND y."user" = x."user")
+  SELECT a, b, round(sum(ra * rb) / sqrt(sum(ra * ra) * sum(rb * rb)), 6) AS sim FROM ranked WHERE r <= {FEW} GROUP BY a, b""",
     "item_cosine": f"WITH {COSINES} SELECT a, b, round(sim, 6) AS sim FROM cos",
     "user_cf": f'WITH {RATINGS}, {USER_CF} SELECT "user", item, round(prediction, 6) AS prediction FROM user_cf',
     "item_cf": f'WITH {COSINES} SELECT "user", item, round(prediction, 6) AS prediction FROM item_cf',
@@ -175,6 +193,8 @@ SELECT a, b, round(least(da, db), 6) AS distance FROM p WHERE least(da, db) < 2
     "tumbling_counts": f"WITH {EV} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM ev GROUP BY ALL",
     "reservoir_sample": f"WITH {RESERVOIR} SELECT * FROM res",
     "stream_reservoir": f"WITH {RESERVOIR} SELECT * FROM res",
+    "hashtag_tiers": f"WITH {TWEETS} SELECT * FROM r WHERE tier <= 3",
+    "stream_hashtag_tiers": f"WITH {TWEETS} SELECT * FROM r WHERE tier <= 3",
     "top_tags_tiers": f"WITH {RESERVOIR}, c AS (SELECT tag, count(*) AS n FROM res GROUP BY tag), r AS (SELECT dense_rank() OVER (ORDER BY n DESC)::INTEGER AS tier, tag, n FROM c) SELECT * FROM r WHERE tier <= 3",
 }
 ORACLES["lsh_item_cf"] = ORACLES["item_cf"]  # no two parts of these tables are similar enough, so every item uses all

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import cluster, explore, graph, itemsets, recommend, similarity, sketch
 from ..scratch import Scratch
-from ..sources.readers import Relations, file_parquet
+from ..sources.readers import TWEET, Relations, file_json, file_parquet, tweet_tags
 from ..streaming import streams
 
 YEAR = 1998
@@ -19,6 +19,8 @@ SUPPORT, TRIPLE_SUPPORT = 0.02, 0.004
 CHUNKS = 4
 SIMILAR = 0.5
 SHARED = 35
+#: Co-raters of the query that shows the bound.
+FEW = 2
 DAY = "1 day"
 
 
@@ -112,19 +114,26 @@ def frequent_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "son")
     rows = scratch.save(Relations(spark, sf_dir).baskets())
-    return itemsets.son_candidates(rows, SUPPORT * rows.select("basket").distinct().count(), CHUNKS, scratch, 2).select(_joined())
+    return itemsets.son_candidates(rows, SUPPORT * rows.select("basket").distinct().count(), CHUNKS, scratch).select(_joined())
 
 
 def son_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "son")
     rows = scratch.save(Relations(spark, sf_dir).baskets())
-    return itemsets.son(rows, SUPPORT * rows.select("basket").distinct().count(), CHUNKS, scratch, 2).select(_joined(), "n")
+    return itemsets.son(rows, SUPPORT * rows.select("basket").distinct().count(), CHUNKS, scratch).select(_joined(), "n")
+
+
+def frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-priori over all sizes."""
+    scratch = Scratch(spark, "itemsets")
+    rows = scratch.save(Relations(spark, sf_dir).baskets())
+    return itemsets.apriori(rows, TRIPLE_SUPPORT * rows.select("basket").distinct().count(), scratch).select(_joined(), "n")
 
 
 def fpgrowth_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Scratch(spark, "fpgrowth").save(Relations(spark, sf_dir).baskets())
     support = -(-int(1000 * TRIPLE_SUPPORT) * rows.select("basket").distinct().count() // 1000)
-    return itemsets.fpgrowth(rows, support, 3).select(_joined(), "n")
+    return itemsets.fpgrowth(rows, support).select(_joined(), "n")
 
 
 # Similarity
@@ -152,11 +161,11 @@ def document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_lsh(spark, sf_dir).pairs(SIMILAR), "similarity")
+    return _rounded(_lsh(spark, sf_dir).pairs(SIMILAR), "similarity").orderBy("a", "b")
 
 
 def jaccard_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_lsh(spark, sf_dir).exact_pairs(SIMILAR), "similarity")
+    return _rounded(_lsh(spark, sf_dir).exact_pairs(SIMILAR), "similarity").orderBy("a", "b")
 
 
 def lsh_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +195,12 @@ def item_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(recommend.item_cosines(train, recommend.item_pairs(train, test)), "sim")
 
 
+def item_cosine_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With so few co-raters that the bound cuts some."""
+    train, test, _ = _split(spark, sf_dir)
+    return _rounded(recommend.item_cosines(train, recommend.item_pairs(train, test), FEW), "sim")
+
+
 def user_cf(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = _split(spark, sf_dir)
     return _rounded(recommend.user_based(train, test), "prediction")
@@ -349,6 +364,18 @@ def stream_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(streams.bloom(stream, "user_id", _days(), scratch), "fpr")
 
 
+def hashtag_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.tag_tiers(sketch.reservoir(tweet_tags(Relations(spark, sf_dir).tweets())))
+
+
+def stream_hashtag_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tweets are written as the files that their feed is read from, and read as a stream."""
+    scratch = Scratch(spark, "tweets")
+    path = scratch.path()
+    Relations(spark, sf_dir).tweets().repartition(4).write.json(path)
+    return streams.last_tiers(tweet_tags(file_json(spark, path, TWEET, 1)), scratch)
+
+
 def stream_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.reservoir(*_stream(spark, sf_dir))
 
@@ -358,10 +385,11 @@ QUERIES = {
     for f in (
         review_count, reviews_in_year, distinct_users, distinct_businesses, top10_users, top10_businesses, partition_item_counts, hash_partition_counts,
         avg_stars_by_city, top10_cities, baskets_case1, baskets_case2, baskets_min_size, frequent_singles, frequent_pairs, frequent_triples, son_candidates,
-        son_frequent, fpgrowth_itemsets, minhash_signatures, lsh_bands, lsh_candidates, document_classes, jaccard_lsh_pairs, jaccard_exact_pairs,
-        lsh_precision_recall, user_avg_ratings, item_avg_ratings, item_cosine, user_cf, item_cf, lsh_item_cf, cf_rmse, als_predictions, co_graph_edges,
+        son_frequent, frequent_itemsets, fpgrowth_itemsets, minhash_signatures, lsh_bands, lsh_candidates, document_classes, jaccard_lsh_pairs, jaccard_exact_pairs,
+        lsh_precision_recall, user_avg_ratings, item_avg_ratings, item_cosine, item_cosine_first, user_cf, item_cf, lsh_item_cf, cf_rmse, als_predictions, co_graph_edges,
         co_graph_vertices, adjacency, lpa_labels, lpa_communities, connected_components, edge_betweenness, edge_betweenness_joins, modularity, girvan_newman,
         cluster_summaries, mahalanobis_assign, cluster_merge_candidates, bfr_rounds, bfr_assignments, kmeans_assign, bloom_fpr, fm_estimate_windows,
         exact_distinct_windows, tumbling_counts, reservoir_sample, top_tags_tiers, stream_fm, stream_window_distinct, stream_bloom, stream_reservoir,
+        hashtag_tiers, stream_hashtag_tiers,
     )
 }

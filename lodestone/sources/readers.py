@@ -15,6 +15,11 @@ RATING = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("
 PAIR = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("business_id", T.StringType())])
 CITY = T.StructType([T.StructField("city", T.StringType())])
 
+TWEET = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("created_at", T.TimestampType()),
+    T.StructField("entities", T.StructType([T.StructField("hashtags", T.ArrayType(T.StructType([T.StructField("text", T.StringType())])))])),
+])
+
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -58,6 +63,12 @@ def file_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
+def tweet_tags(tweets: DataFrame) -> DataFrame:
+    """(event_id, ts, tag), batch or stream: a row for each hashtag of a tweet; null tags and tweets without any give none."""
+    tags = tweets.select("id", F.col("created_at").alias("ts"), F.posexplode("entities.hashtags.text").alias("at", "tag")).where("tag is not null")
+    return tags.select(F.concat_ws("-", F.col("id").cast("string"), F.col("at").cast("string")).alias("event_id"), "ts", "tag")
+
+
 class Relations:
     """The operators' inputs over the tables in ``sf_dir``; each is lazy and reads only the columns it needs."""
 
@@ -108,6 +119,11 @@ class Relations:
         """events with ``ts`` as a timestamp and ``tag``, the number in props."""
         return self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("tag"))
 
+    def tweets(self) -> DataFrame:
+        """Tweets as their feed has them: an event is a tweet whose hashtags are its number and its type; an event without a number has the type and a null."""
+        tag = lambda c: F.struct(c.cast("string").alias("text"))
+        return self.events().select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.struct(F.array(tag(F.col("tag")), tag(F.col("event_type"))).alias("hashtags")).alias("entities"))
+
     def points(self) -> DataFrame:
         """(id, label, features)."""
         return self.table("embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))

@@ -68,5 +68,10 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def append_report(df: DataFrame, path: str, names: dict[str, str]) -> None:
+    """Append a batch's report lines as CSV with a header; ``names`` maps the titles to columns, as {"Time": "batch", "FPR": "fpr"}."""
+    df.select(*(F.col(c).alias(title) for title, c in names.items())).coalesce(1).write.mode("append").option("header", True).csv(path)  # lines of one batch
+
+
 def console(df: DataFrame, n: int = 20) -> None:
     df.show(n, truncate=False)

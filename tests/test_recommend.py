@@ -69,3 +69,15 @@ def test_rmse(spark):
 def test_dispatch(train):
     with pytest.raises(ValueError):
         recommend.recommend(train, train, "other")
+
+
+@pytest.mark.parametrize("bound", [None, 1, 2, 4000])
+def test_first_co_raters_count(spark, train, bound):
+    pairs = spark.createDataFrame([(10, 11), (11, 12), (10, 12)], "a long, b long")
+    got = {(r.a, r.b): r.sim for r in recommend.item_cosines(train, pairs, bound).collect()}
+    rated = {(u, i): r for u, i, r in TRAIN}
+    for a, b in got:
+        users = sorted(u for u in (1, 2, 3) if (u, a) in rated and (u, b) in rated)[:bound]
+        x, y = [rated[u, a] for u in users], [rated[u, b] for u in users]
+        assert got[a, b] == pytest.approx(sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y)))
+    assert len(got) == 3

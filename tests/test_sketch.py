@@ -93,3 +93,47 @@ def test_late_tolerant_counts(spark, sf, scratch):
     closed = {(r.window_start, r.event_type): r.n for r in spark.read.parquet(out).collect()}
     whole = {(r.window_start, r.event_type): r.n for r in sketch.tumbling_counts(streams.events_of(table), "1 day").collect()}
     assert closed and all(whole[k] == n for k, n in closed.items())
+
+
+def _lines(path):
+    import csv
+
+    return [tuple(r) for f in sorted(path.glob("part-*.csv"), key=lambda f: f.stat().st_mtime_ns) for r in list(csv.reader(f.open()))[1:]]
+
+
+def test_report_lines_of_streams(spark, scratch, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    stream = lambda: spark.readStream.schema(table.schema).parquet(f"{sf}/events.parquet*")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    streams.report_bloom(stream(), "user_id", day, str(tmp_path / "bloom"), scratch.path()).awaitTermination()
+    last = sketch.bloom(sketch.first_sights(streams.events_of(table), "user_id", day)).orderBy(F.desc("batch")).first()
+    assert [(t, round(float(v), 9)) for t, v in _lines(tmp_path / "bloom")][-1] == (last.batch, round(last.fpr, 9))
+    streams.report_fm(stream(), "user_id", "3 days", "1 day", str(tmp_path / "fm"), scratch.path()).awaitTermination()
+    batch = streams.events_of(table)
+    truth = {r.window_start: r.n_distinct for r in sketch.distinct_windows(batch, "user_id", "3 days", "1 day").collect()}
+    estimate = {r.window_start: r.estimate for r in sketch.fm_windows(batch, "user_id", "3 days", "1 day").collect()}
+    got = {datetime.strptime(t, "%Y-%m-%d %H:%M:%S"): (int(a), int(b)) for t, a, b in _lines(tmp_path / "fm")}
+    assert got and all((truth[t], estimate[t]) == v for t, v in got.items())
+
+
+def test_processing_time_trigger(spark, scratch, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    seen = []
+    query = streams.follow(streams.events_of(spark.readStream.schema(table.schema).parquet(f"{sf}/events.parquet*")), scratch.path(), "append", lambda df, i: seen.append((i, df.count())), processingTime="1 second")
+    query.processAllAvailable()
+    assert query.isActive and seen == [(0, table.count())]
+    query.stop()
+
+
+def test_tiers_after_each_batch_survive_a_restart(spark, scratch, tmp_path):
+    rows = [(f"{i}-0", START + timedelta(hours=i), f"t{i * i % 7}") for i in range(400)]
+    path, folder, check, tiers = str(tmp_path / "tags"), scratch.path(), scratch.path(), []
+    each = lambda df, i: tiers.append((i, [tuple(r) for r in df.collect()]))
+    for start in (0, 200):  # the second run goes on from the first one's checkpoint, with nothing in memory
+        tags = spark.createDataFrame(rows[start : start + 200], "event_id string, ts timestamp, tag string")
+        tags.repartition(2).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(tags.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        streams.tag_tiers(stream, folder, check, each).awaitTermination()
+    assert [i for i, _ in tiers] == [0, 1, 2, 3]
+    whole = sketch.tag_tiers(sketch.reservoir(spark.createDataFrame(rows, "event_id string, ts timestamp, tag string")))
+    assert tiers[-1][1] == [tuple(r) for r in whole.collect()]

@@ -70,3 +70,23 @@ def test_socket(spark, scratch):
         time.sleep(0.3)
     query.stop()
     assert {r.city for r in spark.table("cities").collect()} == {"Rome", "Oslo"}
+
+
+def test_tweets(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"id": 1, "entities": {"hashtags": [{"text": "a"}, {"text": null}, {"text": "b"}]}}\n{"id": 2, "entities": {"hashtags": []}}\n{"id": 3}\n')
+    tags = readers.tweet_tags(readers.read_json(spark, str(tmp_path / "t.json"), readers.TWEET))
+    assert sorted((r.event_id, r.tag) for r in tags.collect()) == [("1-0", "a"), ("1-2", "b")]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("u1", "b1", "2018-01-01"), ("u1", "b2", "2017-05-05"), ("u2", "b1", "2018-03-03")], "user string, business string, date string")
+    report = explore.exploration_report(df, 2018)
+    assert report == {"n_review": 3, "n_review_2018": 2, "n_user": 2, "top10_user": [["u1", 2], ["u2", 1]], "n_business": 2, "top10_business": [["b1", 2], ["b2", 1]]}
+    sinks.write_json_object(str(tmp_path / "r.json"), report)
+    assert json.loads((tmp_path / "r.json").read_text()) == report
+    parts = explore.partition_report(df.repartition(3), "business", 5, lambda x: explore.top(x, "business").collect())
+    assert parts["default"]["n_partition"] == 3 and parts["customized"]["n_partition"] == 5
+    assert len(parts["customized"]["n_items"]) == 5 and sum(parts["customized"]["n_items"]) == 3 and 0 in parts["customized"]["n_items"]
+    assert all(p["exe_time"] > 0 for p in parts.values())
+    timing = explore.timing_report(df)
+    assert {"m1", "m2", "explanation"} == set(timing)
