@@ -1,23 +1,28 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy graph search.
 
 Equal vectors are one node, held by their smallest id. Nodes are dealt over shards of about
-``SHARD`` by a hash, so that a shard's vectors and graph fit a task whatever the size of the table.
-A shard's graph starts from random hyperplane trees. Each round then joins, in Spark, the
-neighbours of every node with each other (forward and reverse, ``SAMPLED`` of each, those
-that are new first): neighbours of neighbours, as pairs of ids. A shard's pairs are scored
-together and each node keeps its ``NEIGHBOURS`` nearest. Rounds end when few entries change.
-
-A block of queries is searched in all shards at once: from a fixed set of entries the search
-goes to the neighbours of the best nodes not yet expanded, and ends when the ``BEAM`` best are
-all expanded. A crowd of nearly equal vectors would fill the beam, so the search sees one
-leader of a crowd; a query that has the leader in its beam is scored against the whole crowd.
-What shards find is merged and scored in double precision.
+``SHARD`` by a hash, those of each vector length for themselves, so that a shard's vectors
+and graph fit a task whatever the size of the table. A shard's graph starts from random
+hyperplane trees. Each round then joins, in Spark, the neighbours of every node with each
+other (forward and reverse, ``SAMPLED`` of each, those that are new first): neighbours of
+neighbours, as pairs of ids. A shard's pairs are scored together and each node keeps its
+``NEIGHBOURS`` nearest. Rounds end when few entries change.
+
+Each query is searched in all shards of its length: a task reads a shard's graph once and
+then streams the queries through it. From a fixed set of entries the search goes to the
+neighbours of the best nodes not yet expanded, and ends when the ``BEAM`` best are all
+expanded. A crowd of nearly equal vectors would fill the beam, so the search sees one
+leader of a crowd; a query that has the leader in its beam is scored against the whole
+crowd. What shards find is merged and scored in double precision, component by component.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,27 +36,25 @@ TREES = 4
 LEAF = 96
 #: Rounds end when fewer than this share of entries is new, or after so many.
 STILL, ROUNDS = 0.02, 8
-BEAM, EXPAND, ENTRIES = 192, 8, 32
+BEAM, EXPAND, ENTRIES = 512, 16, 32
 #: Cosine to its leader of a member of a crowd, and least size of one.
 CLOSE, CROWD = 0.95, 8
-#: Queries that one search takes through all shards.
-BLOCK = 8192
+#: Queries that are searched together.
+BLOCK = 256
 
-_GRAPH = "shard int, id long, vec array<double>, near array<long>, sims array<float>, fresh array<boolean>, moved int"
+_GRAPH = "shard long, id long, vec array<double>, near array<long>, sims array<float>, fresh array<boolean>, moved int"
 
 
 def usable(table: DataFrame) -> DataFrame:
     """(vec_id, vec, a, b): vectors that take part, with a hash of each.
 
-    Null vectors and ids, vectors with null or non-finite components, zero vectors and
-    vectors whose length is not the most frequent one (the longest of those) do not.
+    Null vectors and ids, vectors with null or non-finite components and zero vectors do not.
     """
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(fine & F.exists("vec", lambda x: x != 0))
-    size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     a, b = hash128(F.col("vec"))
-    return rows.where(F.size("vec") == (size.n if size else 0)).select("vec_id", "vec", a.alias("a"), b.alias("b"))
+    return rows.select("vec_id", "vec", a.alias("a"), b.alias("b"))
 
 
 def _best(src: np.ndarray, dst: np.ndarray, sims: np.ndarray, old: np.ndarray, n: int, k: int) -> list[np.ndarray]:
@@ -66,7 +69,7 @@ def _best(src: np.ndarray, dst: np.ndarray, sims: np.ndarray, old: np.ndarray, n
 
 def _rows(shard: int, ids: np.ndarray, vecs: list, best: list[np.ndarray], dst: np.ndarray, sims: np.ndarray, fresh: np.ndarray, added: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({
-        "shard": np.int32(shard), "id": ids, "vec": vecs, "near": [ids[dst[o]] for o in best], "sims": [sims[o] for o in best],
+        "shard": np.int64(shard), "id": ids, "vec": vecs, "near": [ids[dst[o]] for o in best], "sims": [sims[o] for o in best],
         "fresh": [fresh[o] for o in best], "moved": np.array([added[o].sum() for o in best], np.int32),
     })
 
@@ -236,62 +239,82 @@ def expanded(v: np.ndarray, crowds: dict[int, np.ndarray], q: np.ndarray, ids: n
     return src[best], dst[best]
 
 
-def _searcher(k: int):
-    def search(queries: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(frame):
-            return pd.DataFrame({"query": [], "node": [], "score": []})
-        frame = frame.sort_values("id").reset_index(drop=True)
-        ids = frame["id"].to_numpy()
-        exact = np.stack(frame["vec"].to_numpy())
-        v = exact.astype(np.float32)
-        near = np.repeat(np.arange(len(ids))[:, None], NEIGHBOURS, axis=1)
-        for row, x in zip(near, frame["near"], strict=True):
-            row[: len(x)] = np.searchsorted(ids, x)
-        lead = leaders(v, near)
-        near = thinned(v, near, lead)
-        crowds = {int(x): np.flatnonzero(lead == x) for x in np.unique(lead[lead != np.arange(len(lead))])}
-        among = np.flatnonzero(lead == np.arange(len(lead)))
-        out = []
-        for at in range(0, len(queries), 256):
-            part = queries.iloc[at : at + 256]
-            q = np.stack(part["vec"].to_numpy())
-            r, node = expanded(v, crowds, q.astype(np.float32), *greedy(v, near, among, q.astype(np.float32), k), k)
-            out.append(pd.DataFrame({"query": part["id"].to_numpy()[r], "node": ids[node], "score": np.einsum("nd,nd->n", q[r], exact[node])}))
-        return pd.concat(out)
-
-    return search
+class _Index:
+    """A shard's graph, ready for searches."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        self.ids = rows["id"].to_numpy()  # sorted
+        self.exact = rows["vec"].combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.v = self.exact.astype(np.float32)
+        near = np.repeat(np.arange(len(self.ids))[:, None], NEIGHBOURS, axis=1)
+        for row, x in zip(near, rows["near"].to_pylist(), strict=True):
+            row[: len(x)] = np.searchsorted(self.ids, x)
+        lead = leaders(self.v, near)
+        self.near = thinned(self.v, near, lead)
+        self.crowds = {int(x): np.flatnonzero(lead == x) for x in np.unique(lead[lead != np.arange(len(lead))])}
+        self.among = np.flatnonzero(lead == np.arange(len(lead)))
+
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+        """(query, node, score): the ``k`` nearest found; scores are sums from the first component to the last."""
+        short = q.astype(np.float32)
+        r, node = expanded(self.v, self.crowds, short, *greedy(self.v, self.near, self.among, short, k), k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(self.ids[node]), pa.array(np.cumsum(q[r] * self.exact[node], axis=1)[:, -1])], ["query", "node", "score"])
+
+
+def _searched(state: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, node, score) of queries (shard, id, vec) in the graphs of their shards."""
+    rows = state.select("shard", F.lit(0).alias("kind"), "id", "vec", "near").unionByName(asked.select("shard", F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("array<long>").alias("near")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, index = None, [], None
+        for b in batches:
+            shards, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ends = np.flatnonzero(np.r_[(shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1]), True]) + 1
+            for s, e in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if s == e:
+                    continue
+                if shards[s] != shard:
+                    shard, parts, index = shards[s], [], None
+                if kinds[s] == 0:
+                    parts.append(b.slice(s, e - s))
+                    continue
+                if index is None:
+                    index, parts = _Index(parts), []
+                for at in range(s, e, BLOCK):
+                    part = b.slice(at, min(BLOCK, e - at))
+                    yield index.search(part.column(2).to_numpy(), part.column(3).flatten().to_numpy().reshape(len(part), -1), k)
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "id").mapInArrow(run, "query long, node long, score double")
 
 
 def nearest(table: DataFrame, *, every: int = 20, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``.
 
     Ties go to the smaller vec_id. Defined results: rows that ``usable`` leaves out are
-    neither queries nor candidates; equal vectors are all candidates of each other, with the
-    same score; rows that share a vec_id and vector count once; with k candidates or fewer
-    all that are found are given; an empty table gives no rows; other columns are not read.
+    neither queries nor candidates; a query's candidates are the vectors of its length, as
+    with others it has no inner product; equal vectors are all candidates of each other,
+    with the same score; rows that share a vec_id and vector count once; with k candidates
+    or fewer all that are found are given; an empty table gives no rows; other columns are
+    not read.
     """
     scratch = Scratch(table.sparkSession, "neighbours")
     rows = usable(table).dropDuplicates(["vec_id", "a", "b"])
     # Of a vector's copies no query needs more than the k + 1 smallest ids.
     order = Window.partitionBy("a", "b").orderBy("vec_id")
     kept = scratch.save(rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1))
-    heads = kept.where("r = 1").select(F.col("vec_id").alias("id"), "vec", "a", "b")
-    n = heads.count()
-    shards = max(1, -(-n // SHARD))
-    nodes = scratch.save(heads.withColumn("shard", F.pmod(F.xxhash64("a", "b", "id"), F.lit(shards)).cast("int")))
+    heads = kept.where("r = 1").select(F.col("vec_id").alias("id"), "vec", "a", "b", F.size("vec").alias("dim"))
+    sizes = heads.groupBy("dim").agg(F.ceil(F.count("*") / SHARD).alias("shards"))  # a row for each length that vectors have
+    place = F.col("dim").cast("long") * (1 << 32)
+    nodes = scratch.save(heads.join(F.broadcast(sizes), "dim").withColumn("shard", place + F.pmod(F.xxhash64("a", "b", "id"), F.col("shards"))))
     state = graph(nodes.select("shard", "id", "vec"), scratch)
 
     head = nodes.select("id", "a", "b")
     asked = scratch.save(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "a", "b").join(head, ["a", "b"]).select("query_id", F.col("id").alias("query")))
-    queries = scratch.save(nodes.join(asked.select(F.col("query").alias("id")).distinct(), "id", "left_semi").select("id", "vec"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "vec")
-        one = part.groupBy("shard").cogroup(state.select("shard", "id", "vec", "near").groupBy("shard")).applyInPandas(_searcher(k + 1), "query long, node long, score double")
-        best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        one = one.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
-        found = one if found is None else found.unionByName(one)
+    queries = nodes.join(asked.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
+    found = _searched(state, queries.select("id", "vec", place.alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("i")).select("id", "vec", (F.col("place") + F.col("i")).alias("shard")), k + 1)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     members = kept.select("a", "b", F.col("vec_id").alias("member")).join(head, ["a", "b"]).select(F.col("id").alias("node"), "member")
     # Among the copies of k + 1 nodes the k best rows are ranked once for each query vector, then joined to its queries.
     ranked = found.join(members, "node").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "member"))).where(F.col("r") <= k + 1)

@@ -70,3 +70,12 @@ def test_small_tables_are_exact(spark, n):
     rows = [(i, x) for i, x in enumerate(rng.normal(size=(n, 8)))]
     got, want = run(spark, rows), {q: x for q, x in brute(rows, 20, 20).items() if x}
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(9)
+    short, long = ([(i, x) for i, x in enumerate(rng.normal(size=(60, d)), start)] for d, start in ((8, 0), (12, 100)))
+    got = run(spark, short + long, k=5)
+    for rows in (short, long):
+        want = brute(rows, 20, 5)
+        assert {q: [i for i, _ in got[q]] for q in want} == {q: [i for i, _ in x] for q, x in want.items()}
