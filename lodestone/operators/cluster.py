@@ -68,12 +68,26 @@ def apart(a: tuple, b: tuple) -> float:
     return min(one(stats(a)[0], b), one(stats(b)[0], a))
 
 
+#: Clusters whose summaries are broadcast.
+FEW = 10_000
+
+
 def merge_candidates(clusters: DataFrame) -> DataFrame:
-    """(a, b, distance) of pairs of summaries (label, n, sum, sumsq) nearer than 2 sqrt(d)."""
+    """(a, b, distance) of pairs of summaries (label, n, sum, sumsq) nearer than 2 sqrt(d).
+
+    Up to FEW clusters one side is broadcast; more are dealt into blocks, and each pair of
+    blocks meets in a join of its own.
+    """
     rows = clusters.select("label", centroid().alias("c"), deviation().alias("sd"))
     x, y = rows.select(F.col("label").alias("a"), F.col("c").alias("ca"), F.col("sd").alias("sa")), rows.select(F.col("label").alias("b"), F.col("c").alias("cb"), F.col("sd").alias("sb"))
     square = lambda sd: F.sqrt(F.aggregate(F.zip_with(F.zip_with("ca", "cb", lambda p, q: p - q), sd, lambda d, s: F.when(s > 0, F.pow(d / s, F.lit(2.0))).when(d == 0, 0.0).otherwise(float("inf"))), F.lit(0.0), lambda a, v: a + v))
-    pairs = x.join(F.broadcast(y), F.col("a") < F.col("b"))  # a row for each cluster
+    n = clusters.count()
+    if n <= FEW:
+        pairs = x.join(F.broadcast(y), F.col("a") < F.col("b"))
+    else:
+        blocks = -(-n // FEW)
+        dealt = lambda rows, key, own, other: rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+        pairs = dealt(x, "a", "i", "j").join(dealt(y, "b", "j", "i"), ["i", "j"]).where("a < b")
     return pairs.select("a", "b", F.least(square("sa"), square("sb")).alias("distance"), F.size("ca").alias("dims")).where("distance < 2 * sqrt(dims)").select("a", "b", "distance")
 
 

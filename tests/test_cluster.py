@@ -45,3 +45,12 @@ def test_bfr_keeps_every_point(spark, scratch):
     assert last[1] + last[3] + last[4] == len(points)
     assert sum(c >= 0 for c in got.values()) == last[1]
     assert sum(got[i] >= 0 for i in range(300)) > 250
+
+
+def test_blocks_of_clusters_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, i % 30, [rng.gauss(i % 30, 2), rng.gauss(0, 1)]) for i in range(600)]
+    summaries = vectors.summaries(spark.createDataFrame(rows, "id long, label long, features array<double>"), "label")
+    whole = sorted(map(tuple, cluster.merge_candidates(summaries).collect()))
+    monkeypatch.setattr(cluster, "FEW", 7)
+    assert whole and sorted(map(tuple, cluster.merge_candidates(summaries).collect())) == whole
