@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Share of all rows that makes a node a hub: there are fewer than 2,000 of them, whatever the graph.
+HUB = 1 / 1000
+
+
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the smallest v of each u.
+
+    Hubs, nodes with more than ``HUB`` of the ``n`` edges, get theirs by a broadcast of at
+    most 2 / HUB rows, so that no task has all rows of one node.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+    hubs = least.where(F.col("k") > max(1.0, n * HUB)).select("u", F.col("m").alias("h"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")
+    others = marked.where("h is null").select("u", "v").join(least.select("u", "m"), "u")
+    return marked.where("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(others)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    found = _with_least(down, n)
+    return found.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(found.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -25,14 +41,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     The number of rounds grows with the logarithm of a component's size. Each round's table
     is written to the shared folder; minima are combined map-side, and the joins back to
-    them are plain equi-joins, whose large keys adaptive execution splits.
+    them are plain equi-joins but for hubs.
     """
     state = scratch.save(edges.where("u <> v").select("u", "v").distinct())
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = sign(state)
     while before[0]:
-        after = scratch.save(_small_star(_large_star(state).distinct()).where("u <> v").distinct())
-        scratch.drop(state)
+        large = scratch.save(_large_star(state, before[0]).distinct())
+        after = scratch.save(_small_star(large, before[0]).where("u <> v").distinct())
+        scratch.drop(state, large)
         state, mark = after, sign(after)
         if mark == before:
             break

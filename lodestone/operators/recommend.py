@@ -40,12 +40,16 @@ def user_based(train: DataFrame, test: DataFrame, neighbours: int = NEIGHBOURS,
     pairs = asked.join(centred.select(F.col("user").alias("v"), "item", F.col("d").alias("dv_item")), "item")
     mine = centred.select("user", F.col("item").alias("i"), F.col("d").alias("du"))
     theirs = centred.select(F.col("user").alias("v"), F.col("item").alias("i"), F.col("d").alias("dv"))
-    common = pairs.join(mine, "user").where("i <> item").join(theirs, ["v", "i"])
-    first = common.withColumn("r", F.row_number().over(Window.partitionBy("user", "item", "v").orderBy("i"))).where(F.col("r") <= co_rated)
-    num, den = F.sum(F.col("du") * F.col("dv")), F.sqrt(F.sum(F.col("du") * F.col("du")) * F.sum(F.col("dv") * F.col("dv")))
-    sims = first.groupBy("user", "item", "v").agg(num.alias("num"), den.alias("den")).select("user", "item", "v", F.when((F.col("num") != 0) & (F.col("den") != 0), F.try_divide("num", "den")).otherwise(0.0).alias("sim"))
-    scored = pairs.join(sims, ["user", "item", "v"], "left").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("user", "item").orderBy(F.desc(F.round("sim", 9)), "v"))).where(F.col("r") <= neighbours)
+    # For two users once, whatever items are asked for: the first co_rated + 1 common items are enough to leave any one out.
+    common = pairs.select("user", "v").distinct().join(mine, "user").join(theirs, ["v", "i"])
+    first = common.withColumn("r", F.row_number().over(Window.partitionBy("user", "v").orderBy("i"))).where(F.col("r") <= co_rated + 1)
+    shared = first.groupBy("user", "v").agg(F.array_sort(F.collect_list(F.struct("i", "du", "dv"))).alias("shared"))
+    used = F.slice(F.filter("shared", lambda x: x["i"] != F.col("item")), 1, co_rated)
+    total = lambda f: F.aggregate("used", F.lit(0.0), lambda s, x: s + f(x))
+    num, den = total(lambda x: x["du"] * x["dv"]), F.sqrt(total(lambda x: x["du"] * x["du"]) * total(lambda x: x["dv"] * x["dv"]))
+    both = pairs.join(shared, ["user", "v"], "left").withColumn("used", used).withColumns({"num": num, "den": den})
+    sims = both.select("user", "item", "v", "dv_item", F.when((F.col("num") != 0) & (F.col("den") != 0), F.try_divide("num", "den")).otherwise(0.0).alias("sim"))
+    best = sims.withColumn("r", F.row_number().over(Window.partitionBy("user", "item").orderBy(F.desc(F.round("sim", 9)), "v"))).where(F.col("r") <= neighbours)
     sums = best.groupBy("user", "item").agg(F.sum(F.col("dv_item") * F.col("sim")).alias("num"), F.sum(F.abs("sim")).alias("den"))
     out = asked.join(sums, ["user", "item"], "left").join(mean, "user", "left")
     return out.select("user", "item", F.when(F.col("den") > 0, F.col("mean") + F.try_divide("num", "den")).otherwise(0.0).alias("prediction"))
