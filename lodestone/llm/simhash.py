@@ -7,10 +7,9 @@ most t bits of one of them. Thresholds are unequal, chosen by dynamic programmin
 candidates that each choice would give, estimated from the partition's key counts over all
 fingerprints.
 
-Probing puts a fingerprint in the cells within r bits of its own key in each partition, so
-that pairs up to t = 2 r bits apart meet half way: thresholds are 0, 2, 4 or none. (With an
-odd threshold one side would still visit all cells within r bits; the even one above it
-costs the same rows and reaches a bit further.) A cell's bits are ``mask``. A cell
+Probing puts a fingerprint as a resident in the cells within floor(t / 2) bits of its own key
+and as a visitor in those within ceil(t / 2), so that pairs up to t bits apart meet half way,
+one of them a resident: thresholds are any from none and 0 up to ``MOST``. A cell's bits are ``mask``. A cell
 of more than ``cell_size`` fingerprints is not paired: its other bits are partitioned again in
 tau + 1 parts, and so on until cells are small (as a cell's free bits run out). Small cells are verified by popcount inside their task, which gives out a
 minimum spanning forest of the links, no more edges than the cell has members: enough for
@@ -42,6 +41,8 @@ ROW_COST = 300.0
 LEAST_SCALE = 1_000_000
 #: Most fingerprints in a cell that is paired; None: as many as ``cell_size`` says.
 CELL = None
+#: Largest threshold of a partition.
+MOST = 4
 #: Buckets of shingle hashes whose counts order the shingles of a set.
 CROWDS = 1 << 16
 
@@ -133,58 +134,66 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def probes(bits: list[int], radius: int) -> list[int]:
-    """What a key is xored with: all sets of at most ``radius`` of the bits."""
-    return [signed(mask_of(list(c))) for r in range(radius + 1) for c in combinations(bits, r)]
+def probes(bits: list[int], threshold: int) -> list[tuple[int, bool]]:
+    """What a key is xored with, all sets of at most ceil(threshold / 2) of the bits, and whether it is a resident there."""
+    return [(signed(mask_of(list(c))), r <= threshold // 2) for r in range(threshold - threshold // 2 + 1) for c in combinations(bits, r)]
 
 
-def allocate(widths: list[int], pairs: list[float], n: int, tau: int) -> list[int]:
-    """Radii for the partitions (-1: not used), by dynamic programming over tau + 1 units.
+def ball(width: int, radius: int) -> int:
+    """Keys within ``radius`` bits of one."""
+    return sum(math.comb(width, r) for r in range(radius + 1))
 
-    Radius r reaches threshold 2 r and so brings 2 r + 1 units; its cost is the rows of its
-    probes and the estimated candidates: ``pairs`` (of equal keys) times the square of the probes.
-    """
+
+def cost(width: int, equal: float, threshold: int, n: int) -> float:
+    """Rows of the probes and estimated candidates: ``equal`` (pairs of equal keys) times residents times all who come."""
+    come = ball(width, threshold - threshold // 2)
+    return ROW_COST * n * come + equal * come * ball(width, threshold // 2)
+
+
+def allocate(widths: list[int], pairs: list[float], n: int, tau: int) -> list[int]:
+    """Thresholds for the partitions (-1: not used), by dynamic programming over tau + 1 units; threshold t brings t + 1."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for width, equal in zip(widths, pairs, strict=True):
         nxt: dict[int, tuple[float, list[int]]] = {}
-        for units, (cost, radii) in best.items():
-            for radius in (-1, 0, 1, 2):
-                v = {-1: 0, 0: 1, 1: 1 + width, 2: 1 + width + width * (width - 1) // 2}[radius]
-                u, c = min(tau + 1, units + max(0, 2 * radius + 1)), cost + ROW_COST * n * v + equal * v * v
+        for units, (spent, chosen) in best.items():
+            for t in range(-1, MOST + 1):
+                u, c = min(tau + 1, units + t + 1), spent + (cost(width, equal, t, n) if t >= 0 else 0.0)
                 if u not in nxt or c < nxt[u][0]:
-                    nxt[u] = (c, [*radii, radius])
+                    nxt[u] = (c, [*chosen, t])
         best = nxt
     return best.get(tau + 1, (0.0, []))[1]
 
 
 def plan(nodes: DataFrame, tau: int) -> list[tuple[list[int], int]]:
-    """Partitions with their radii. The number of partitions is the one of least cost were keys even."""
+    """Partitions with their thresholds. The number of partitions is the one of least cost were keys even."""
     n, both = bit_counts(nodes)
     scale = max(n, LEAST_SCALE)
     even = {}
-    for parts in range(max(2, (tau + 3) // 3), tau + 2):
+    for parts in range(max(2, -(-(tau + 1) // (MOST + 1))), tau + 2):
         widths = [len(g) for g in np.array_split(np.arange(BITS), parts)]
         pairs = [scale * scale / 2 / 2**w for w in widths]
-        if radii := allocate(widths, pairs, scale, tau):
-            v = [[0, 1, 1 + w, 1 + w + w * (w - 1) // 2][r + 1] for w, r in zip(widths, radii, strict=True)]
-            even[parts] = sum(ROW_COST * scale * x + p * x * x for x, p in zip(v, pairs, strict=True))
+        if chosen := allocate(widths, pairs, scale, tau):
+            even[parts] = sum(cost(w, p, t, scale) for w, p, t in zip(widths, pairs, chosen, strict=True) if t >= 0)
     groups = group_bits(n, both, min(even, key=even.get))
     masks = F.array(*(F.lit(signed(mask_of(g))) for g in groups))
     keys = nodes.select(F.posexplode(masks).alias("i", "mask"), "fp").select("i", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     counted = keys.groupBy("i", "key").count().groupBy("i").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs")).collect()
     grown = (scale / max(n, 1)) ** 2
     pairs = {i: p * grown for i, p in counted}
-    return [(g, r) for g, r in zip(groups, allocate([len(g) for g in groups], [pairs.get(i, 0.0) for i in range(len(groups))], scale, tau), strict=True) if r >= 0]
+    return [(g, t) for g, t in zip(groups, allocate([len(g) for g in groups], [pairs.get(i, 0.0) for i in range(len(groups))], scale, tau), strict=True) if t >= 0]
 
 
-def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
+def forest(fps: np.ndarray, own: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
     """Minimum spanning forest of the links of a cell, by Prim's algorithm: places (lower, higher, bits).
 
+    Links have a resident (``own``) at one end or both.
+
     Links are ordered by (bits, lower, higher) and so never tie; places follow ids, so that
     every cell orders the links that it shares with another cell alike.
     """
     n = len(fps)
-    if not any(int((np.bitwise_count(fps[i : i + 256, None] ^ fps) <= tau).sum()) > len(fps[i : i + 256]) for i in range(0, n, 256)):
+    some = np.flatnonzero(own)
+    if not any(int((np.bitwise_count(fps[some[i : i + 256], None] ^ fps) <= tau).sum()) > len(some[i : i + 256]) for i in range(0, len(some), 256)):
         return []  # as in most cells
     none = np.iinfo(np.int64).max
     place = np.arange(n)
@@ -194,9 +203,11 @@ def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int, int]]:
     for _ in range(n - 1):
         free[at] = False
         weight = (np.bitwise_count(fps ^ fps[at]).astype(np.int64) * n + np.minimum(place, at)) * n + np.maximum(place, at)
-        closer = free & (weight < least)
+        closer = free & (weight < least) & (own | own[at])
         least[closer], near[closer] = weight[closer], at
         nxt = int(np.argmin(np.where(free, least, none)))
+        if not free[nxt]:  # the rest is out of reach, and starts anew
+            nxt = int(np.argmax(free))
         if (bits := int(least[nxt]) // (n * n)) <= tau:
             out.append((min(nxt, int(near[nxt])), max(nxt, int(near[nxt])), bits))
         at = nxt
@@ -217,9 +228,9 @@ def owns(mask: int, value: int, x: int, y: int, chosen: list[tuple[int, int]], t
     forest of all links is in the forest of any cell that holds both its ends, so giving
     it out once is enough.
     """
-    for at, radius in chosen:
+    for at, threshold in chosen:
         diff = (x ^ y) & at
-        if diff.bit_count() <= 2 * radius:
+        if diff.bit_count() <= threshold:
             v = min(x & at, y & at)
             for _ in range(diff.bit_count() // 2):
                 v ^= diff & -diff
@@ -247,22 +258,22 @@ def _verified(cells: DataFrame, chosen: list[tuple[int, int]], tau: int) -> Data
         held: list[np.ndarray] | None = None
 
         def links(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            mask, value, fp, ids = parts
+            mask, value, fp, ids, own = parts
             ends = np.flatnonzero(np.r_[(mask[1:] != mask[:-1]) | (value[1:] != value[:-1]), True]) + 1
             starts = np.r_[0, ends[:-1]]
             fp, mask, value = fp.view(np.uint64), mask.view(np.uint64), value.view(np.uint64)  # a popcount of signed numbers counts their absolute values
             pair = starts[ends - starts == 2]  # most cells of more than one: no need for a loop
             bits = np.bitwise_count(fp[pair] ^ fp[pair + 1])
-            near = bits <= tau
+            near = (bits <= tau) & (own[pair] | own[pair + 1])
             found = list(zip(pair[near].tolist(), (pair[near] + 1).tolist(), bits[near].tolist(), strict=True))
             for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-                found += ((s + i, s + j, d) for i, j, d in forest(fp[s:e], tau))
+                found += ((s + i, s + j, d) for i, j, d in forest(fp[s:e], own[s:e], tau))
             rows = [(int(ids[j]), int(ids[i]), d) for i, j, d in found if owns(int(mask[i]), int(value[i]), int(fp[i]), int(fp[j]), chosen, tau)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["u", "v", "bits"])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if not len(new[0]):
                 continue
             if held:
@@ -275,15 +286,15 @@ def _verified(cells: DataFrame, chosen: list[tuple[int, int]], tau: int) -> Data
         if held:
             yield from links(held)
 
-    return together.select("mask", "value", "fp", "id").mapInArrow(run, "u long, v long, bits long")
+    return together.select("mask", "value", "fp", "id", "own").mapInArrow(run, "u long, v long, bits long")
 
 
 def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
     """(u, v, bits) that connect all fingerprints of ``nodes`` (fp, id: each once) at most ``tau`` bits apart."""
     chosen = plan(nodes, tau)
-    roots = [(mask_of(g), radius) for g, radius in chosen]
-    keys = F.array(*(F.struct(F.lit(signed(mask_of(g))).alias("mask"), F.lit(x).alias("flip")) for g, radius in chosen for x in probes(g, radius)))
-    cells = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"), "fp", "id")
+    roots = [(mask_of(g), t) for g, t in chosen]
+    keys = F.array(*(F.struct(F.lit(signed(mask_of(g))).alias("mask"), F.lit(x).alias("flip"), F.lit(own).alias("own")) for g, t in chosen for x, own in probes(g, t)))
+    cells = nodes.select(F.explode(keys).alias("k"), "fp", "id").select("k.mask", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"), "fp", "id", "k.own")
     found = None
     while True:
         large = scratch.save(cells.groupBy("mask", "value").count().where(f"count > {cell_size(tau)}").drop("count"))
@@ -298,9 +309,9 @@ def links(nodes: DataFrame, tau: int, scratch: Scratch) -> DataFrame:
             under = [signed(m) for m in finer(mask % (1 << BITS), tau)]
             parts.append(F.when(F.col("mask") == mask, F.array(*map(F.lit, under))))
         # The value a cell was visited under is kept in the bits of its mask, whatever the fingerprint has there.
-        cells = cells.select(F.col("mask").alias("old"), F.col("value").alias("kept"), F.explode(F.coalesce(*parts)).alias("mask"), "fp", "id")
+        cells = cells.select(F.col("mask").alias("old"), F.col("value").alias("kept"), F.explode(F.coalesce(*parts)).alias("mask"), "fp", "id", "own")
         new_bits = F.col("fp").bitwiseAND(F.col("mask").bitwiseAND(F.bitwise_not("old")))
-        cells = scratch.save(cells.select("mask", F.col("kept").bitwiseOR(new_bits).alias("value"), "fp", "id").distinct())  # one cell may come from two
+        cells = scratch.save(cells.select("mask", F.col("kept").bitwiseOR(new_bits).alias("value"), "fp", "id", "own").groupBy("mask", "value", "fp", "id").agg(F.max("own").alias("own")))  # one cell may come from two
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:

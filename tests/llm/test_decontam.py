@@ -128,3 +128,12 @@ def test_all_planted_items_are_found(spark):
     wanted = {(i, b.item_id) for b in items.collect() for i, t in texts.items() if " ".join(b.text.split()) in t}
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
     assert wanted and wanted <= got and len(got) < len(wanted) + 5
+
+
+def test_very_long_texts_and_extra_columns(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(50)}" for _ in range(400_000)]
+    text = " ".join(words[:200_000]) + " " + ITEM + " " + " ".join(words[200_000:]) + " one two three" * 100_000
+    d = spark.createDataFrame([(1, text, "x", 5, "y"), (2, "nine " * 300_000, "x", 5, "y")], "doc_id long, text string, h string, pos int, key string")
+    b = spark.createDataFrame([(1, ITEM, 3, "z")], "item_id long, text string, n int, slots string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()} == {(1, 1)}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -39,9 +40,7 @@ def reachable(ids, fps, tau):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("tau", "cell"), [(2, None), (2, 8), (5, 16), (11, 64), (11, None)])
-def test_links_connect_all_that_is_near(spark, monkeypatch, tau, cell):
-    monkeypatch.setattr(simhash, "CELL", cell)
+def assert_connected(spark, tau):
     rng = random.Random(tau)
     fps = [rng.getrandbits(64) for _ in range(120)] + [0, 1, (1 << 64) - 1, 1 << 63]
     for base in fps[:6]:  # crowds around a few, some in long chains
@@ -68,13 +67,36 @@ def test_links_connect_all_that_is_near(spark, monkeypatch, tau, cell):
     assert {i: find(i) for i in root} == expected
 
 
+@pytest.mark.parametrize(("tau", "cell"), [(2, None), (2, 8), (5, 16), (11, 64), (11, None)])
+def test_links_connect_all_that_is_near(spark, monkeypatch, tau, cell):
+    monkeypatch.setattr(simhash, "CELL", cell)
+    assert_connected(spark, tau)
+
+
 def test_thresholds_are_enough():
     for widths in ([22, 21, 21], [16] * 4, [8] * 8):
         for tau in (2, 5, 11):
-            radii = simhash.allocate(widths, [1000.0] * len(widths), 10000, tau)
-            assert not radii or sum(2 * r + 1 for r in radii if r >= 0) >= tau + 1
-    even = simhash.allocate([32, 32], [1e12, 10.0], 1000, 2)
-    assert even[0] == -1 and even[1] == 1  # unequal: only the partition with few candidates
+            chosen = simhash.allocate(widths, [1000.0] * len(widths), 10000, tau)
+            assert not chosen or sum(t + 1 for t in chosen) >= tau + 1
+    assert simhash.allocate([32, 32], [1e12, 10.0], 1000, 2) == [-1, 2]  # unequal: only the partition with few candidates
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_thresholds_against_all_choices(seed):
+    rng = random.Random(seed)
+    k, tau, n = rng.randint(2, 4), rng.randint(1, 9), 10 ** rng.randint(2, 6)
+    widths, pairs = [rng.randint(4, 30) for _ in range(k)], [10.0 ** rng.randint(0, 14) for _ in range(k)]
+    price = lambda c: sum(simhash.cost(w, p, t, n) for w, p, t in zip(widths, pairs, c, strict=True) if t >= 0)
+    every = [c for c in itertools.product(range(-1, simhash.MOST + 1), repeat=k) if sum(t + 1 for t in c) >= tau + 1]
+    chosen = simhash.allocate(widths, pairs, n, tau)
+    assert bool(chosen) == bool(every) and (not every or price(chosen) <= min(map(price, every)) * (1 + 1e-9))
+
+
+@pytest.mark.parametrize(("tau", "chosen"), [(2, [0, 1]), (2, [-1, 2]), (5, [1, 3]), (6, [1, 0, 3]), (3, [3, -1])])
+def test_any_thresholds_connect_all_that_is_near(spark, monkeypatch, tau, chosen):
+    groups = [g.tolist() for g in np.array_split(np.arange(64), len(chosen))]
+    monkeypatch.setattr(simhash, "plan", lambda *_: [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0])
+    assert_connected(spark, tau)
 
 
 def test_bits_that_go_together_share_a_partition():
