@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
+from ..operators.components import HUB, components
 from ..scratch import Scratch
 from .common import small_batches, words_of
 
@@ -45,6 +45,8 @@ CELL = None
 MOST = 4
 #: Buckets of shingle hashes whose counts order the shingles of a set.
 CROWDS = 1 << 16
+#: Documents that share a shingle and are compared with each other; of more each turn draws.
+CROWD = 64
 
 
 def cell_size(tau: int) -> int:
@@ -364,39 +366,54 @@ def crowds(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def across(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(u, v) of different ``part`` that can have ``similarity``, by prefixes of ``sets`` (doc_id, part, grams).
+def prefixes(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(gram, doc, n, at): the first shingles of each set (doc_id, grams), n in all, of which two sets of ``similarity`` share one.
 
     Shingles are ordered by how many sets hold their bucket, rare ones first. Of two sets
-    that similar, a shingle is in the first 1 - ``similarity`` of both, and what follows
-    the first such on either side is enough for the overlap they need.
+    that similar, a shingle is in the first 1 - ``similarity`` of both.
     """
     counts = crowds(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, part, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, grams in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.frombuffer(grams, np.uint64)
                 n = len(x)
                 first = x[np.lexsort((x, counts[(x % CROWDS).astype(np.int64)]))[: n - math.ceil(similarity * n - 1e-9) + 1]]
                 m = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *(pa.array(np.full(m, v, np.int64)) for v in (doc, part, n)), pa.array(np.arange(m))], ["gram", "doc", "part", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *(pa.array(np.full(m, v, np.int64)) for v in (doc, n)), pa.array(np.arange(m))], ["gram", "doc", "n", "at"])
+
+    return scratch.save(sets.select("doc_id", "grams").where("length(grams) > 0").mapInArrow(run, "gram long, doc long, n long, at long"))
 
-    rows = scratch.save(sets.select("doc_id", "part", "grams").where("length(grams) > 0").mapInArrow(run, "gram long, doc long, part long, n long, at long"))
-    shared = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
-    rows = scratch.save(rows.join(shared, "gram", "left_semi"))
-    x, y = rows.alias("x"), rows.alias("y")
-    need = f"least(x.n - x.at, y.n - y.at) >= (x.n + y.n) * {similarity / (1 + similarity)!r} - 1e-6"
-    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where("x.doc < y.doc and x.part <> y.part").where(need)
-    return pairs.select(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")).distinct()
+
+def met(rows: DataFrame, member: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(u, v) of different parts that can have ``similarity``, by the shingles of ``rows`` that both have.
+
+    The first turn has all pairs of the holders of shingles that at most ``CROWD`` documents
+    hold. Of a crowd each turn takes each document with one holder, drawn by hash, another
+    one for each shingle and turn. So there are never more than CROWD / 2 pairs for a row,
+    however many documents share a shingle.
+    """
+    now = rows.join(member.select(F.col("doc_id").alias("doc"), "part"), "doc")
+    drawn = now.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc", F.lit(turn)).alias("h"), "doc", "part", "n", "at")).alias("r"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("k")).where("low < high")
+    crowd = drawn.where(F.col("k") > CROWD)
+    hubs = crowd.where(F.col("k") > HUB * rows.count()).select("gram", F.col("r").alias("c"))  # fewer than 1 / HUB
+    marked = now.join(F.broadcast(hubs), "gram", "left")
+    both = marked.where("c is not null").withColumnRenamed("c", "r").unionByName(marked.where("c is null").drop("c").join(crowd.select("gram", "r"), "gram"))
+    if not turn:
+        few = now.join(drawn.where(F.col("k") <= CROWD).select("gram"), "gram", "left_semi")
+        other = few.select("gram", F.struct(F.lit(0).cast("long").alias("h"), "doc", "part", "n", "at").alias("r"))
+        both = both.unionByName(few.join(other, "gram").where("doc < r.doc"))
+    need = f"least(n - at, r.n - r.at) >= (n + r.n) * {similarity / (1 + similarity)!r} - 1e-6"
+    return both.where("part <> r.part").where(need).select(F.least("doc", "r.doc").alias("u"), F.greatest("doc", "r.doc").alias("v")).distinct()
 
 
 def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(u, v) that connect what links of ``similarity`` connect, for documents that ``edges`` (u, v) connect on whatever way.
 
     Edges that hold form parts. The edges are a forest, so where one fails, pairs that it
-    stands for may hold still: all documents of parts with a failed edge to another part are
-    compared with those of other parts.
+    stands for may hold still: documents of parts with a failed edge to another part meet
+    those of other parts that share a rare shingle, turn after turn until a turn finds no link.
     """
     edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
     ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
@@ -405,9 +422,19 @@ def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: flo
     member = scratch.save(sets.select("doc_id").join(hold.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("part")))
     ends_of = edges.join(member.select(F.col("doc_id").alias("u"), F.col("part").alias("p")), "u").join(member.select(F.col("doc_id").alias("v"), F.col("part").alias("q")), "v")
     failed = ends_of.where("p <> q").select(F.explode(F.array("p", "q")).alias("part")).distinct()
-    left = scratch.save(member.join(failed, "part", "left_semi").join(sets, "doc_id").select("doc_id", "part", "grams"))
-    more = verified(scratch.save(across(left, similarity, scratch)), sets, similarity)
-    return hold.select("u", F.col("root").alias("v")).unionByName(more)
+    left = scratch.save(member.join(failed, "part", "left_semi").select("doc_id", "part"))
+    rows = prefixes(left.join(sets, "doc_id"), similarity, scratch)
+    shared = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("gram")
+    rows = scratch.save(rows.join(shared, "gram", "left_semi"))
+    out, turn = hold.select("u", F.col("root").alias("v")), 0
+    while True:
+        new = scratch.save(verified(scratch.save(met(rows, left, similarity, turn)), sets, similarity))
+        if not new.limit(1).count():
+            return out
+        out, turn = out.unionByName(new), turn + 1
+        part = lambda c: left.select(F.col("doc_id").alias(c), F.col("part").alias(f"p{c}"))
+        joined = components(new.join(part("u"), "u").join(part("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")), scratch)
+        left = scratch.save(left.join(joined.withColumnRenamed("u", "part"), "part", "left").select("doc_id", F.coalesce("root", "part").alias("part")))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarity: float | None = 0.8) -> DataFrame:
@@ -416,9 +443,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarit
     Without ``similarity`` links are fingerprints at most ``tau`` bits apart. With it, links
     are those of two fingerprints of different seeds whose shingle sets have that Jaccard
     similarity, whether or not a spanning forest has them: equal texts are one node, and
-    where edges of the forests fail, what they connect is compared by shingles. Shingles as
+    where edges of the forests fail, what they connect meets by rare shingles. Shingles as
     similar as 0.8 have fingerprints some 10 bits apart, 0.9 some 7, hence the default of
-    11; a pair is missed only if it is further apart in both.
+    11; a pair is missed if it is further apart in both, or if it stands behind failed edges
+    and no turn draws it.
 
     Defined results: a null or empty text has no words and the fingerprint zero, which links
     like any other; fewer words than ``width`` are one shingle; equal fingerprints are one

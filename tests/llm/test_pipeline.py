@@ -48,7 +48,7 @@ def test_a_link_that_stands_behind_failed_edges_is_found(spark):
     for _ in range(6):
         a = [word() for _ in range(200)]
         b, c = list(a), list(a)
-        for at in range(3, 200, 40):
+        for at in range(3, 200, 50):
             c[at] = word()
         for at in range(10, 200, 25):
             b[at] = word()
