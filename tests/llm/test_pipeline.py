@@ -45,7 +45,7 @@ def test_a_link_that_stands_behind_failed_edges_is_found(spark):
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(10**9)}"
     found = 0
-    for _ in range(6):
+    for _ in range(3):
         a = [word() for _ in range(200)]
         b, c = list(a), list(a)
         for at in range(3, 200, 50):
@@ -59,7 +59,7 @@ def test_a_link_that_stands_behind_failed_edges_is_found(spark):
         assert (got[2] == 1) <= (sim(0, 1) >= 0.8 or (sim(1, 2) >= 0.8 and sim(0, 2) >= 0.8))
         assert sim(0, 1) < 0.8 <= sim(0, 2)
         found += got[3] == 1
-    assert found == 6
+    assert found == 3
 
 
 def test_ten_operators_and_the_pipeline_are_registered():
