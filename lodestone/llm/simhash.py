@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import HUB, components
@@ -47,6 +47,8 @@ MOST = 4
 CROWDS = 1 << 16
 #: Documents that share a shingle and are compared with each other; of more each turn draws.
 CROWD = 64
+#: Shingles of crowds for which a document draws a partner in a turn.
+DRAWS = 8
 
 
 def cell_size(tau: int) -> int:
@@ -390,15 +392,16 @@ def met(rows: DataFrame, member: DataFrame, similarity: float, turn: int) -> Dat
     """(u, v) of different parts that can have ``similarity``, by the shingles of ``rows`` that both have.
 
     The first turn has all pairs of the holders of shingles that at most ``CROWD`` documents
-    hold. Of a crowd each turn takes each document with one holder, drawn by hash, another
-    one for each shingle and turn. So there are never more than CROWD / 2 pairs for a row,
-    however many documents share a shingle.
+    hold. Of crowds each turn draws DRAWS shingles of each document and for each of them one
+    holder, by hashes that differ from turn to turn. So there are never more than CROWD / 2
+    pairs for a row, however many documents share a shingle.
     """
     now = rows.join(member.select(F.col("doc_id").alias("doc"), "part"), "doc")
     drawn = now.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc", F.lit(turn)).alias("h"), "doc", "part", "n", "at")).alias("r"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("k")).where("low < high")
     crowd = drawn.where(F.col("k") > CROWD)
     hubs = crowd.where(F.col("k") > HUB * rows.count()).select("gram", F.col("r").alias("c"))  # fewer than 1 / HUB
-    marked = now.join(F.broadcast(hubs), "gram", "left")
+    drawing = now.join(crowd.select("gram"), "gram", "left_semi").withColumn("d", F.row_number().over(Window.partitionBy("doc").orderBy(F.xxhash64("gram", "doc", F.lit(-1 - turn)), "gram")))  # of one document
+    marked = drawing.where(F.col("d") <= DRAWS).drop("d").join(F.broadcast(hubs), "gram", "left")
     both = marked.where("c is not null").withColumnRenamed("c", "r").unionByName(marked.where("c is null").drop("c").join(crowd.select("gram", "r"), "gram"))
     if not turn:
         few = now.join(drawn.where(F.col("k") <= CROWD).select("gram"), "gram", "left_semi")
@@ -428,7 +431,9 @@ def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: flo
     rows = scratch.save(rows.join(shared, "gram", "left_semi"))
     out, turn = hold.select("u", F.col("root").alias("v")), 0
     while True:
-        new = scratch.save(verified(scratch.save(met(rows, left, similarity, turn)), sets, similarity))
+        asked = scratch.save(met(rows, left, similarity, turn))
+        new = scratch.save(verified(asked, sets, similarity))
+        scratch.drop(asked)
         if not new.limit(1).count():
             return out
         out, turn = out.unionByName(new), turn + 1
