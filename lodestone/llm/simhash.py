@@ -49,6 +49,8 @@ CROWDS = 1 << 16
 CROWD = 64
 #: Shingles of crowds for which a document draws a partner in a turn.
 DRAWS = 8
+#: Documents of a crowd that are compared in one task, with as many others.
+BLOCK = 1024
 
 
 def cell_size(tau: int) -> int:
@@ -394,7 +396,7 @@ def met(rows: DataFrame, member: DataFrame, similarity: float, turn: int) -> Dat
     The first turn has all pairs of the holders of shingles that at most ``CROWD`` documents
     hold. Of crowds each turn draws DRAWS shingles of each document and for each of them one
     holder, by hashes that differ from turn to turn. So there are never more than CROWD / 2
-    pairs for a row, however many documents share a shingle.
+    pairs for a row, however many documents share a shingle; what no turn draws is left to ``crowded``.
     """
     now = rows.join(member.select(F.col("doc_id").alias("doc"), "part"), "doc")
     drawn = now.groupBy("gram").agg(F.min(F.struct(F.xxhash64("gram", "doc", F.lit(turn)).alias("h"), "doc", "part", "n", "at")).alias("r"), F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("k")).where("low < high")
@@ -411,12 +413,91 @@ def met(rows: DataFrame, member: DataFrame, similarity: float, turn: int) -> Dat
     return both.where("part <> r.part").where(need).select(F.least("doc", "r.doc").alias("u"), F.greatest("doc", "r.doc").alias("v")).distinct()
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(doc, bits): the parities of a set's counts in buckets of its hashes, a power of two of them, some 4 for each shingle, 256 to 16,384."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for grams in b.column(1).to_pylist():
+                x = np.frombuffer(grams, np.uint64)
+                size = min(max(256, 1 << (4 * len(x) - 1).bit_length()), 1 << 14) if len(x) else 256
+                odd = np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc", "bits"])
+
+    return sets.select("doc_id", "grams").mapInArrow(run, "doc long, bits binary")
+
+
+def near_in_crowd(doc: list, part: list, n: list, at: list, side: list, bits: list, across: bool, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of different parts (and sides, if ``across``) whose sketches allow ``similarity``.
+
+    Two sets differ in at least as many members as their parities do; a sketch folds to half
+    its size by exclusive or. Of similar sets the larger has at most twice the buckets.
+    """
+    size = np.array([len(x) for x in bits])
+    order = np.lexsort((np.array(doc), np.array(n), size))
+    doc, part, n, at, side, size = (np.array(x)[order] for x in (doc, part, n, at, side, size))
+    bits = [bits[i] for i in order.tolist()]
+    share, out = similarity / (1 + similarity), []
+    for width in np.unique(size).tolist():
+        low, mid = np.searchsorted(size, [width, width + 1]).tolist()
+        high = int(np.searchsorted(size, 2 * width + 1)) if similarity > 0.5 else len(size)
+        table = np.array([np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, width // 8), axis=0) for x in bits[low:high]])
+        left = n - at
+        for i in range(low, mid):
+            js = np.arange(i + 1, high)
+            js = js[(part[js] != part[i]) & (np.minimum(n[js], n[i]) >= similarity * np.maximum(n[js], n[i]) - 1e-6) & (np.minimum(left[js], left[i]) >= share * (n[js] + n[i]) - 1e-6)]
+            if across:
+                js = js[side[js] != side[i]]
+            if len(js):
+                differ = np.bitwise_count(table[js - low] ^ table[i - low]).sum(axis=1, dtype=np.int64)
+                js = js[(n[js] + n[i] - differ) / 2 >= share * (n[js] + n[i]) - 1e-6]
+                out += ((min(int(doc[i]), j), max(int(doc[i]), j)) for j in doc[js].tolist())
+    return out
+
+
+def crowded(rows: DataFrame, member: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of different parts that can have ``similarity``, by the shingles of ``rows`` that more than ``CROWD`` documents hold.
+
+    All pairs of a crowd are compared inside tasks, by sketches of bounded size; a crowd of more than
+    BLOCK documents is dealt over the pairs of its blocks. Only pairs whose sketches allow
+    the similarity leave a task.
+    """
+    now = rows.join(member.select(F.col("doc_id").alias("doc"), "part"), "doc")
+    many = now.groupBy("gram").agg(F.count("*").alias("k"), F.min("part").alias("low"), F.max("part").alias("high")).where(f"k > {CROWD} and low < high").select("gram", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    held = now.join(many, "gram").withColumn("side", F.pmod(F.xxhash64("doc"), "blocks"))
+    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")}).join(sketches(sets.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")), "doc")
+    together = cells.repartition("gram", "x", "y").sortWithinPartitions("gram", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if found := near_in_crowd(*zip(*held, strict=True), key[1] != key[2], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+        for batch in batches:
+            for gram, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (gram, x, y) != key:
+                    if held:
+                        yield from pairs()
+                    key, held = (gram, x, y), []
+                held.append(row)
+        if held:
+            yield from pairs()
+
+    return together.select("gram", "x", "y", "doc", "part", "n", "at", "side", "bits").mapInArrow(run, "u long, v long").distinct()
+
+
 def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(u, v) that connect what links of ``similarity`` connect, for documents that ``edges`` (u, v) connect on whatever way.
 
     Edges that hold form parts. The edges are a forest, so where one fails, pairs that it
     stands for may hold still: documents of parts with a failed edge to another part meet
     those of other parts that share a rare shingle, turn after turn until a turn finds no link.
+    Then all pairs of crowds that are still of different parts are compared, so that none is left out.
     """
     edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
     ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
@@ -435,7 +516,7 @@ def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: flo
         new = scratch.save(verified(asked, sets, similarity))
         scratch.drop(asked)
         if not new.limit(1).count():
-            return out
+            return out.unionByName(scratch.save(verified(scratch.save(crowded(rows, left, sets, similarity)), sets, similarity)))
         out, turn = out.unionByName(new), turn + 1
         part = lambda c: left.select(F.col("doc_id").alias(c), F.col("part").alias(f"p{c}"))
         joined = components(new.join(part("u"), "u").join(part("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")), scratch)
@@ -450,8 +531,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarit
     similarity, whether or not a spanning forest has them: equal texts are one node, and
     where edges of the forests fail, what they connect meets by rare shingles. Shingles as
     similar as 0.8 have fingerprints some 10 bits apart, 0.9 some 7, hence the default of
-    11; a pair is missed if it is further apart in both, or if it stands behind failed edges
-    and no turn draws it.
+    11; a pair is missed if it is further apart in both.
 
     Defined results: a null or empty text has no words and the fingerprint zero, which links
     like any other; fewer words than ``width`` are one shingle; equal fingerprints are one

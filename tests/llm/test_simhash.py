@@ -150,3 +150,30 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.near_duplicates(docs, similarity=None).count() == 0
+
+
+def test_links_in_crowds_that_no_turn_draws(spark, scratch, monkeypatch):
+    """Every shingle has a crowd of holders; pairs of texts that share nearly all lines stand behind failed edges."""
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    rng = random.Random(5)
+    pool = [[f"w{i}x{j}" for j in range(30)] for i in range(16)]
+    texts = []
+    for _ in range(60):
+        lines = sorted(rng.sample(range(16), 8))
+        texts += [lines, lines[:-1] + [rng.randrange(16)]]
+    rows = [(i, " ".join(w for at in lines for w in pool[at])) for i, lines in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = rng.sample(range(len(rows)), len(rows))
+    edges = spark.createDataFrame([(max(p), min(p)) for p in zip(order, order[1:], strict=False)], "u long, v long")
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    expected = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((expected[a], expected[b]))
+                expected = [low if e == high else e for e in expected]
+    found = simhash.similar_links(docs, edges, 5, 0.8, scratch)
+    roots = dict(simhash.components(found, scratch).collect())
+    assert len(set(expected)) < len(rows)
+    assert [roots.get(i, i) for i in range(len(rows))] == expected
