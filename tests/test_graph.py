@@ -84,3 +84,13 @@ def test_co_occurrence_against_brute_force(spark):
     rows = spark.createDataFrame([(u, g) for u, s in groups.items() for g in s] * 2 + [(None, 1), (1, None)], "u long, g long")
     got = {(r.src, r.dst): r.n for r in graph.co_occurrence(rows, "u", "g", 5).collect()}
     assert got == {(a, b): len(groups[a] & groups[b]) for a, b in itertools.combinations(sorted(groups), 2) if len(groups[a] & groups[b]) >= 5}
+
+
+def test_co_occurrence_compares_copies_once(spark, scratch):
+    rng = random.Random(6)
+    kinds = [set(rng.sample(range(20), rng.randint(8, 12))) for _ in range(6)]
+    groups = {u: kinds[u % 6] for u in range(120)}
+    rows = spark.createDataFrame([(u, g) for u, s in groups.items() for g in s], "u long, g long")
+    got = {(r.src, r.dst): r.n for r in graph.co_occurrence(rows, "u", "g", 5, scratch).collect()}
+    assert got == {(a, b): len(groups[a] & groups[b]) for a, b in itertools.combinations(range(120), 2) if len(groups[a] & groups[b]) >= 5}
+    assert max(spark.read.parquet(scratch.base + f"/{i + 1}").count() for i in range(scratch.n)) <= 120 < len(got)
