@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 
@@ -81,3 +82,19 @@ def test_first_co_raters_count(spark, train, bound):
         x, y = [rated[u, a] for u in users], [rated[u, b] for u in users]
         assert got[a, b] == pytest.approx(sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y)))
     assert len(got) == 3
+
+
+@pytest.mark.parametrize("first", [None, 2])
+def test_blocks_compare_all_pairs_without_moving_common_rows(spark, monkeypatch, first):
+    monkeypatch.setattr(recommend, "BLOCK", 40)
+    rng = random.Random(7)
+    rates = {(u, i): float(rng.randint(1, 5)) for u in range(20) for i in range(12) if rng.random() < 0.6}
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in rates.items()], "user long, item long, rating double")
+    asked = [(a, b) for a in range(13) for b in range(13) if a != b and rng.random() < 0.5]
+    expected = {}
+    for a, b in asked:
+        both = [(rates[u, a], rates[u, b]) for u in range(20) if (u, a) in rates and (u, b) in rates][:first]
+        if both:
+            expected[a, b] = sum(x * y for x, y in both) / math.sqrt(sum(x * x for x, _ in both) * sum(y * y for _, y in both))
+    got = {(r.a, r.b): r.sim for r in recommend.item_cosines(train, spark.createDataFrame(asked, "a long, b long"), first).collect()}
+    assert got == pytest.approx(expected)
