@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import deque
 
+import pandas as pd
 import pytest
 
 from lodestone.operators import graph
@@ -94,3 +95,30 @@ def test_co_occurrence_compares_copies_once(spark, scratch):
     got = {(r.src, r.dst): r.n for r in graph.co_occurrence(rows, "u", "g", 5, scratch).collect()}
     assert got == {(a, b): len(groups[a] & groups[b]) for a, b in itertools.combinations(range(120), 2) if len(groups[a] & groups[b]) >= 5}
     assert max(spark.read.parquet(scratch.base + f"/{i + 1}").count() for i in range(scratch.n)) <= 120 < len(got)
+
+
+def test_betweenness_of_twins(spark):
+    """Classes of linked and of unlinked twins against all shortest paths."""
+    rng = random.Random(8)
+    for trial in range(6):
+        n, kinds = 7, [rng.random() < 0.5 for _ in range(7)]
+        copies = [(k, i) for k in range(n) for i in range(rng.randint(1, 4))]
+        base = {(a, b) for a in range(n) for b in range(a) if rng.random() < 0.4}
+        pairs = [(u, v) for u, v in itertools.combinations(range(len(copies)), 2) if (kinds[copies[u][0]] if copies[u][0] == copies[v][0] else tuple(sorted((copies[u][0], copies[v][0]), reverse=True)) in base)]
+        near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(len(copies))}
+        expected = dict.fromkeys(pairs, 0.0)
+        for s, t in itertools.combinations(range(len(copies)), 2):
+            front, seen = [[s]], {s}
+            while front and not any(p[-1] == t for p in front):
+                front = [[*p, w] for p in front for w in near[p[-1]] if w not in seen]
+                seen |= {p[-1] for p in front}
+            ways = [p for p in front if p[-1] == t]
+            for p in ways:
+                for e in itertools.pairwise(p):
+                    expected[tuple(sorted(e))] += 1 / len(ways)
+        if not pairs:
+            continue
+        ids, src, dst = graph._ranks(pd.DataFrame(pairs, columns=["src", "dst"]))
+        label, linked = graph._twins(src, dst, len(ids))
+        value = graph._class_betweenness(spark, src, dst, label, linked)
+        assert dict(zip(zip(ids[src].tolist(), ids[dst].tolist()), value.tolist())) == pytest.approx(expected)
