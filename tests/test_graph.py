@@ -1,6 +1,7 @@
 import itertools
 import random
 from collections import deque
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -122,3 +123,18 @@ def test_betweenness_of_twins(spark):
         label, linked = graph._twins(src, dst, len(ids))
         value = graph._class_betweenness(spark, src, dst, label, linked)
         assert dict(zip(zip(ids[src].tolist(), ids[dst].tolist()), value.tolist())) == pytest.approx(expected)
+
+
+def test_joined_betweenness_of_twins_goes_by_classes(spark, scratch):
+    rng = random.Random(11)
+    kinds = [rng.random() < 0.5 for _ in range(6)]
+    copies = [(k, i) for k in range(6) for i in range(rng.randint(5, 9))]
+    base = {(1, 0), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (5, 0)}
+    pairs = [(u, v) for u, v in itertools.combinations(range(len(copies)), 2) if (kinds[copies[u][0]] if copies[u][0] == copies[v][0] else tuple(sorted((copies[u][0], copies[v][0]), reverse=True)) in base)]
+    pairs += [(100, 101), (100, 102), (101, 102), (200, 201)]
+    expected = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(frame(spark, pairs), scratch).collect()}
+    before = scratch.n
+    got = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(frame(spark, pairs), scratch, -1).collect()}
+    assert got == pytest.approx(expected) and len(got) == len(pairs)
+    kept = [p for i in range(before, scratch.n) if (p := Path(scratch.base.removeprefix("file:"), str(i + 1))).exists()]
+    assert max(spark.read.parquet(str(p)).count() for p in kept) <= len(pairs)  # before: a row for each root and vertex
