@@ -73,6 +73,18 @@ def test_components_of_a_long_path_and_copies(spark, scratch):
     assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
 
 
+def test_components_of_few_edges_take_no_rounds(spark, scratch, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1 << 62, -5), (-5, 7)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    before = scratch.n
+    got = dict(components(frame, scratch).collect())
+    assert scratch.n - before == 2  # the edges and the roots
+    monkeypatch.setattr("lodestone.operators.components.FEW", -1)
+    assert got == dict(components(frame, scratch).collect())
+    assert scratch.n - before > 4 and got[1 << 62] == -5
+
+
 def test_label_propagation_ties_go_to_the_smaller(spark, scratch):
     got = dict(graph.label_propagation(frame(spark, [(1, 2)]), scratch, 1).collect())
     assert got == {1: 2, 2: 1}
