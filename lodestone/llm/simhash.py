@@ -197,26 +197,32 @@ def forest(fps: np.ndarray, own: np.ndarray, tau: int) -> list[tuple[int, int, i
     Links are ordered by (bits, lower, higher) and so never tie; places follow ids, so that
     every cell orders the links that it shares with another cell alike.
     """
-    n = len(fps)
-    some = np.flatnonzero(own)
-    if not any(int((np.bitwise_count(fps[some[i : i + 256], None] ^ fps) <= tau).sum()) > len(some[i : i + 256]) for i in range(0, len(some), 256)):
-        return []  # as in most cells
+    some, linked = np.flatnonzero(own), np.zeros(len(fps), bool)
+    for i in range(0, len(some), 256):
+        near = np.bitwise_count(fps[some[i : i + 256], None] ^ fps) <= tau
+        near[np.arange(len(near)), some[i : i + 256]] = False
+        linked |= near.any(axis=0)
+        linked[some[i : i + 256]] |= near.any(axis=1)
+    ids = np.flatnonzero(linked)  # none in most cells
+    n, fps, own = len(ids), fps[ids], own[ids]
+    if not n:
+        return []
     none = np.iinfo(np.int64).max
-    place = np.arange(n)
-    out, least, near = [], np.full(n, none), np.zeros(n, np.int64)
-    free = np.ones(n, bool)
-    at = 0
-    for _ in range(n - 1):
-        free[at] = False
-        weight = (np.bitwise_count(fps ^ fps[at]).astype(np.int64) * n + np.minimum(place, at)) * n + np.maximum(place, at)
-        closer = free & (weight < least) & (own | own[at])
-        least[closer], near[closer] = weight[closer], at
-        nxt = int(np.argmin(np.where(free, least, none)))
-        if not free[nxt]:  # the rest is out of reach, and starts anew
-            nxt = int(np.argmax(free))
-        if (bits := int(least[nxt]) // (n * n)) <= tau:
-            out.append((min(nxt, int(near[nxt])), max(nxt, int(near[nxt])), bits))
-        at = nxt
+    out, at, m = [], 0, n - 1
+    place, rest, has = np.arange(1, n), fps[1:].copy(), own[1:].copy()  # what is left are the first m
+    least, near = np.full(m, none), np.zeros(m, np.int64)
+    while m:
+        bits = np.bitwise_count(rest[:m] ^ fps[at])
+        new = np.flatnonzero(bits <= tau if own[at] else (bits <= tau) & has[:m])
+        weight = (bits[new].astype(np.int64) * n + np.minimum(place[new], at)) * n + np.maximum(place[new], at)
+        closer = weight < least[new]
+        least[new[closer]], near[new[closer]] = weight[closer], at
+        i = int(np.argmin(least[:m]))  # where all are out of reach, any starts anew
+        at, m = int(place[i]), m - 1
+        if least[i] < none:
+            out.append((int(ids[min(at, near[i])]), int(ids[max(at, near[i])]), int(least[i]) // (n * n)))
+        for x in (place, rest, has, least, near):
+            x[i] = x[m]
     return out
 
 
@@ -365,8 +371,8 @@ def crowds(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["k", "n"])
 
     out = np.zeros(CROWDS, np.int64)
-    for k, n in sets.select("grams").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[k] = n
+    found = sets.select("grams").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # one job, not one for each partition
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
 
 

@@ -177,3 +177,33 @@ def test_links_in_crowds_that_no_turn_draws(spark, scratch, monkeypatch):
     roots = dict(simhash.components(found, scratch).collect())
     assert len(set(expected)) < len(rows)
     assert [roots.get(i, i) for i in range(len(rows))] == expected
+
+
+@pytest.mark.parametrize("share", [0.1, 0.6, 1.0])
+def test_forest_is_the_least_of_all(share):
+    rng = np.random.default_rng(3)
+    for groups, noise, tau in ((1, 3, 5), (40, 4, 11), (300, 1, 2)):
+        fps = rng.integers(0, 1 << 63, groups).astype(np.uint64)[rng.integers(0, groups, 300)]
+        for _ in range(noise):
+            fps ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+        own = rng.random(300) < share
+        root, want = list(range(300)), set()
+        for d, i, j in sorted((int(fps[i] ^ fps[j]).bit_count(), i, j) for i, j in itertools.combinations(range(300), 2) if own[i] or own[j]):
+            if d <= tau and root[i] != root[j]:
+                want.add((i, j, d))
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+        assert set(simhash.forest(fps, own, tau)) == want
+
+
+def test_crowds_are_counted_in_one_go(spark, scratch):
+    sets = scratch.save(simhash.shingle_sets(spark.createDataFrame([(i, f"a b c d e {i}") for i in range(40)], "doc_id long, text string"), 5))
+    context, key = spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    context.setJobGroup("crowds", "crowds")
+    try:
+        assert simhash.crowds(sets).sum() == 80
+        assert len(context.statusTracker().getJobIdsForGroup("crowds")) <= 2  # not one for each partition
+    finally:
+        spark.conf.unset(key)
+        context.setJobGroup("rest", "rest")
