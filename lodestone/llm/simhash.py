@@ -49,6 +49,8 @@ CROWDS = 1 << 16
 CROWD = 64
 #: Shingles of crowds for which a document draws a partner in a turn.
 DRAWS = 8
+#: Turns go on while one links at least one in so many of the documents; then all pairs of crowds are compared.
+WORTH = 100
 #: Documents of a crowd that are compared in one task, with as many others.
 BLOCK = 1024
 
@@ -502,31 +504,34 @@ def similar_links(docs: DataFrame, edges: DataFrame, width: int, similarity: flo
 
     Edges that hold form parts. The edges are a forest, so where one fails, pairs that it
     stands for may hold still: documents of parts with a failed edge to another part meet
-    those of other parts that share a rare shingle, turn after turn until a turn finds no link.
-    Then all pairs of crowds that are still of different parts are compared, so that none is left out.
+    those of other parts that share a rare shingle, turn after turn until a turn links fewer than one in
+    WORTH of them. Then all pairs of crowds that are still of different parts are compared, so that none is left out.
     """
     edges = scratch.save(edges.select("u", "v").where("u <> v").distinct())
+    n = 2 * edges.count()  # documents at most
     ends = edges.select("u").union(edges.select("v")).distinct().select(F.col("u").alias("doc_id"))
-    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    sets = scratch.save(shingle_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), n)
     hold = components(verified(edges, sets, similarity), scratch)
-    member = scratch.save(sets.select("doc_id").join(hold.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("part")))
+    member = scratch.save(sets.select("doc_id").join(hold.withColumnRenamed("u", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("part")), n)
     ends_of = edges.join(member.select(F.col("doc_id").alias("u"), F.col("part").alias("p")), "u").join(member.select(F.col("doc_id").alias("v"), F.col("part").alias("q")), "v")
     failed = ends_of.where("p <> q").select(F.explode(F.array("p", "q")).alias("part")).distinct()
-    left = scratch.save(member.join(failed, "part", "left_semi").select("doc_id", "part"))
+    left = scratch.save(member.join(failed, "part", "left_semi").select("doc_id", "part"), n)
     rows = prefixes(left.join(sets, "doc_id"), similarity, scratch)
     shared = rows.groupBy("gram").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("gram")
     rows = scratch.save(rows.join(shared, "gram", "left_semi"))
-    out, turn = hold.select("u", F.col("root").alias("v")), 0
+    out, turn, n = hold.select("u", F.col("root").alias("v")), 0, left.count()
     while True:
         asked = scratch.save(met(rows, left, similarity, turn))
         new = scratch.save(verified(asked, sets, similarity))
         scratch.drop(asked)
-        if not new.limit(1).count():
+        some = new.count()
+        if some:
+            out, turn = out.unionByName(new), turn + 1
+            part = lambda c: left.select(F.col("doc_id").alias(c), F.col("part").alias(f"p{c}"))
+            joined = components(new.join(part("u"), "u").join(part("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")), scratch)
+            left = scratch.save(left.join(joined.withColumnRenamed("u", "part"), "part", "left").select("doc_id", F.coalesce("root", "part").alias("part")), n)
+        if some * WORTH <= n:
             return out.unionByName(scratch.save(verified(scratch.save(crowded(rows, left, sets, similarity)), sets, similarity)))
-        out, turn = out.unionByName(new), turn + 1
-        part = lambda c: left.select(F.col("doc_id").alias(c), F.col("part").alias(f"p{c}"))
-        joined = components(new.join(part("u"), "u").join(part("v"), "v").select(F.col("pu").alias("u"), F.col("pv").alias("v")), scratch)
-        left = scratch.save(left.join(joined.withColumnRenamed("u", "part"), "part", "left").select("doc_id", F.coalesce("root", "part").alias("part")))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarity: float | None = 0.8) -> DataFrame:
@@ -553,10 +558,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, tau: int = 11, similarit
         roots = components(links(nodes, tau, scratch).select("u", "v"), scratch).select(F.col("u").alias("id"), "root")
         member = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
         return prints.withColumnRenamed("fp0", "fp").join(member, "fp", "left").select("doc_id", "fp", "component_id")
-    texts = scratch.save(prints.where("doc_id is not null").groupBy("key", "fp0", "fp1").agg(F.min("doc_id").alias("id")))
+    n = prints.count()
+    texts = scratch.save(prints.where("doc_id is not null").groupBy("key", "fp0", "fp1").agg(F.min("doc_id").alias("id")), n)
     edges = None
     for i in range(len(seeds)):
-        nodes = scratch.save(texts.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("id").alias("id")))
+        nodes = scratch.save(texts.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("id").alias("id")), n)
         same = texts.select(F.col("id").alias("u"), F.col(f"fp{i}").alias("fp")).join(nodes.withColumnRenamed("id", "v"), "fp").select("u", "v")
         found = links(nodes, tau, scratch).select("u", "v").unionByName(same)
         edges = found if edges is None else edges.unionByName(found)

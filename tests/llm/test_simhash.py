@@ -179,6 +179,33 @@ def test_links_in_crowds_that_no_turn_draws(spark, scratch, monkeypatch):
     assert [roots.get(i, i) for i in range(len(rows))] == expected
 
 
+def test_turns_end_when_they_link_little(spark, scratch, monkeypatch):
+    """Every shingle of 300 texts has a crowd, 30 pairs are similar; a turn finds a few of them."""
+    monkeypatch.setattr(simhash, "DRAWS", 4)
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    monkeypatch.setattr(simhash, "WORTH", 10, raising=False)
+    turns, met = [], simhash.met
+    monkeypatch.setattr(simhash, "met", lambda *a: turns.append(a[-1]) or met(*a))
+    rng = random.Random(2)
+    pool = [[f"w{i}x{j}" for j in range(12)] for i in range(12)]
+    picked = rng.sample(list(itertools.combinations(range(12), 5)), 300)
+    texts = [" ".join(w for i in lines for w in pool[i]) for lines in picked]
+    for i in range(30):
+        texts[2 * i + 1] = texts[2 * i] + f" end{i}"  # 1 of 57 shingles more
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = rng.sample(range(300), 300)
+    edges = spark.createDataFrame([(max(p), min(p)) for p in zip(order, order[1:], strict=False)], "u long, v long")
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    expected = list(range(300))
+    for a, b in itertools.combinations(range(300), 2):
+        if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            low, high = sorted((expected[a], expected[b]))
+            expected = [low if e == high else e for e in expected]
+    roots = dict(simhash.components(simhash.similar_links(docs, edges, 5, 0.8, scratch), scratch).collect())
+    assert [roots.get(i, i) for i in range(300)] == expected and len(set(expected)) <= 270
+    assert len(turns) <= 2
+
+
 @pytest.mark.parametrize("share", [0.1, 0.6, 1.0])
 def test_forest_is_the_least_of_all(share):
     rng = np.random.default_rng(3)

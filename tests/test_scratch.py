@@ -23,3 +23,14 @@ def test_tables_keep_their_schema_and_go(spark):
     s.drop(df)
     with pytest.raises(Exception):
         df.count()
+
+
+def test_few_known_rows_get_few_files(spark):
+    s, key = scratch.Scratch(spark, "t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(500).repartition(60, "id")
+        few = s.save(df, 500)
+        assert few.count() == 500 and len(few.inputFiles()) <= spark.sparkContext.defaultParallelism < len(s.save(df).inputFiles())
+    finally:
+        spark.conf.unset(key)
