@@ -98,3 +98,24 @@ def test_blocks_compare_all_pairs_without_moving_common_rows(spark, monkeypatch,
             expected[a, b] = sum(x * y for x, y in both) / math.sqrt(sum(x * x for x, _ in both) * sum(y * y for _, y in both))
     got = {(r.a, r.b): r.sim for r in recommend.item_cosines(train, spark.createDataFrame(asked, "a long, b long"), first).collect()}
     assert got == pytest.approx(expected)
+
+
+def test_all_co_raters_count_by_default(spark):
+    """4,000 users rate both items 5 and 5, 100 more 1 and 5."""
+    rows = spark.range(4100).selectExpr("id as user", "explode(array(10L, 11L)) as item").selectExpr("user", "item", "double(if(user >= 4000 and item = 10, 1, 5)) as rating")
+    sim = recommend.item_cosines(rows, spark.createDataFrame([(10, 11)], "a long, b long")).first().sim
+    assert sim == pytest.approx((4000 * 25 + 100 * 5) / math.sqrt((4000 * 25 + 100) * (4100 * 25)))
+
+
+def test_all_common_items_and_all_raters_count(spark):
+    rng = random.Random(9)
+    rates = {(u, i): float(rng.randint(1, 5)) for u in range(30) for i in range(25) if (u, i) != (0, 0)}
+    train = spark.createDataFrame([(u, i, r) for (u, i), r in rates.items()], "user long, item long, rating double")
+    own = {u: [i for i in range(25) if (u, i) in rates] for u in range(30)}
+    mean = {u: sum(rates[u, i] for i in s) / len(s) for u, s in own.items()}
+    num = den = 0.0
+    for v in range(1, 30):
+        d = [(rates[0, i] - mean[0], rates[v, i] - mean[v]) for i in range(1, 25)]
+        sim = sum(x * y for x, y in d) / math.sqrt(sum(x * x for x, _ in d) * sum(y * y for _, y in d))
+        num, den = num + sim * (rates[v, 0] - mean[v]), den + abs(sim)
+    assert recommend.user_based(train, test_of(spark, (0, 0, 0.0))).first().prediction == pytest.approx(mean[0] + num / den)
