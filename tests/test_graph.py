@@ -150,3 +150,37 @@ def test_joined_betweenness_of_twins_goes_by_classes(spark, scratch):
     assert got == pytest.approx(expected) and len(got) == len(pairs)
     kept = [p for i in range(before, scratch.n) if (p := Path(scratch.base.removeprefix("file:"), str(i + 1))).exists()]
     assert max(spark.read.parquet(str(p)).count() for p in kept) <= len(pairs)  # before: a row for each root and vertex
+
+
+@pytest.mark.parametrize("groups", [30, 4000])  # counted by matrices; by lists of groups
+def test_blocks_of_classes_meet_in_tasks(spark, scratch, groups):
+    rng = random.Random(groups)
+    kinds = [set(rng.sample(range(k := rng.randrange(groups - 20), k + 20), rng.randint(8, 12))) for _ in range(60)]
+    sets = {u: kinds[u % 60] if u < 80 else set(rng.sample(sorted(kinds[u % 60]), 7)) | {groups + u} for u in range(140)}
+    heads = {}
+    for u in sorted(sets):
+        heads.setdefault(frozenset(sets[u]), []).append(u)
+    frame = spark.createDataFrame([(v[0], len(v), sorted(s)) for s, v in heads.items()], "c long, m long, groups array<long>")
+    expected = sorted((a[0], b[0], len(s & t), len(a), len(b)) for (s, a), (t, b) in itertools.product(heads.items(), repeat=2) if a[0] < b[0] and len(s & t) >= 5)
+    for rows, tile in ((1000, 1000), (17, 5)):
+        found = graph._linked(frame, 5, scratch, rows, tile)
+        assert sorted(map(tuple, found.collect())) == expected
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # no candidate is shuffled
+    rows = spark.createDataFrame([(u, g) for u, s in sets.items() for g in s], "u long, g long")
+    found, edges = graph.class_graph(rows, "u", "g", 5, scratch), graph.co_occurrence(rows, "u", "g", 5, scratch).collect()
+    assert {(r.src, r.dst): r.n for r in edges} == {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 5}
+    assert sorted(r.id for r in graph.class_vertices(found).collect()) == sorted({v for r in edges for v in (r.src, r.dst)})
+    assert sorted(graph.class_components(found, scratch).collect()) == sorted(graph.connected_components(frame_of(spark, edges), scratch).collect())
+
+
+def frame_of(spark, edges):
+    return spark.createDataFrame([(r.src, r.dst) for r in edges], "src long, dst long")
+
+
+def test_components_of_many_edges_are_forests_first(spark, scratch, monkeypatch):
+    rng = random.Random(12)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(3000)], "u long, v long").repartition(3)
+    monkeypatch.setattr("lodestone.operators.components.FEW", 200)
+    before = scratch.n
+    got = dict(components(edges, scratch).collect())
+    assert got == dict.fromkeys(range(1, 40), 0) and scratch.n - before == 3  # the edges, the forests, the roots
