@@ -184,3 +184,19 @@ def test_components_of_many_edges_are_forests_first(spark, scratch, monkeypatch)
     before = scratch.n
     got = dict(components(edges, scratch).collect())
     assert got == dict.fromkeys(range(1, 40), 0) and scratch.n - before == 3  # the edges, the forests, the roots
+
+
+@pytest.mark.parametrize("copies", [1, 4])
+def test_labels_and_modularity_of_classes(spark, scratch, copies):
+    """Classes give the labels and the modularity of the edges between their members, in every round."""
+    rng = random.Random(copies)
+    kinds = [set(rng.sample(range(20), rng.randint(6, 10))) for _ in range(12)]
+    sets = {rng.randrange(10**6): kinds[rng.randrange(12)] if copies > 1 else set(rng.sample(range(20), 8)) for _ in range(12 * copies)}
+    rows = spark.createDataFrame([(u, g) for u, s in sets.items() for g in s], "u long, g long")
+    found = graph.class_graph(rows, "u", "g", 5, scratch)
+    edges = scratch.save(graph.class_edges(found))
+    for rounds in (0, 1, 2, 5):
+        labels = graph.class_label_propagation(found, scratch, rounds)
+        expected = graph.label_propagation(edges, scratch, rounds)
+        assert sorted(labels.select("id", "label").collect()) == sorted(expected.collect())
+        assert graph.class_modularity(found, labels).first()[0] == pytest.approx(graph.modularity(edges, expected).first()[0])
