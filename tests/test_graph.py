@@ -200,3 +200,22 @@ def test_labels_and_modularity_of_classes(spark, scratch, copies):
         expected = graph.label_propagation(edges, scratch, rounds)
         assert sorted(labels.select("id", "label").collect()) == sorted(expected.collect())
         assert graph.class_modularity(found, labels).first()[0] == pytest.approx(graph.modularity(edges, expected).first()[0])
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_betweenness_and_cuts_of_classes(spark, scratch, copies):
+    """Links between classes give the betweenness and the cuts of the edges between members."""
+    rng = random.Random(20 + copies)
+    kinds = [set(rng.sample(range(14), rng.randint(6, 8))) for _ in range(9)]
+    sets = {rng.randrange(10**6): kinds[i % 9] for i in range(9 * copies)}
+    rows = spark.createDataFrame([(u, g) for u, s in sets.items() for g in s], "u long, g long")
+    found = graph.class_graph(rows, "u", "g", 5, scratch)
+    edges = scratch.save(graph.class_edges(found))
+    expected = {(r.src, r.dst): r.betweenness for r in graph.edge_betweenness(edges, scratch).collect()}
+    for small in (100, -1) if copies > 1 else (100,):
+        got = graph.class_edge_betweenness(found, scratch, small).collect()
+        assert {(r.src, r.dst): r.betweenness for r in got} == pytest.approx(expected) and len(got) == len(expected)
+    for removals in (0, 1, 12):
+        labels, q = graph.girvan_newman(edges, scratch, removals)
+        own, own_q = graph.class_girvan_newman(found, scratch, removals)
+        assert sorted(own.collect()) == sorted(labels.collect()) and own_q == pytest.approx(q)
